@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import WHITE, batch, pieces, text_buffers
-from kinweave.operators.components import cut
+from kinweave.operators.components import cut, rekeyed
 
 MIN_CHUNK = 256
 MEAN_BITS = 11
@@ -122,7 +122,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     recipes = cut(base.mapInArrow(_recipes(digest_bytes), "doc_id long, text_sha256 string, recipe binary"))
     repeated = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    suspects = recipes.join(repeated, "recipe").select("doc_id", "recipe")
+    suspects = recipes.join(rekeyed(repeated, "recipe"), "recipe").select("doc_id", "recipe")
     texts = base.join(suspects.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = texts.select("text").mapInArrow(_chunks(digest_bytes), "digest binary, content binary").distinct()
     clashes = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
@@ -131,7 +131,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = recipes.groupBy("recipe", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return (
-        rows.join(groups, "recipe")
+        rekeyed(rows, "recipe").join(rekeyed(groups, "recipe"), "recipe")
         .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256")
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import Words, batch, mix, pieces, span_hashes, text_buffers
-from kinweave.operators.components import connected_components, cut
+from kinweave.operators.components import connected_components, cut, rekeyed
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -166,15 +166,15 @@ def near_duplicates(
     classes = (
         sigs.where("doc_id is not null").groupBy("seq1", "seq2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
-    reps = classes.join(sigs.withColumnRenamed("doc_id", "rep"), ["seq1", "seq2", "rep"]).dropDuplicates(["rep"]).select("rep", "size", "bands")
+    reps = rekeyed(classes, "seq1", "seq2").join(sigs.withColumnRenamed("doc_id", "rep"), ["seq1", "seq2", "rep"]).dropDuplicates(["rep"]).select("rep", "size", "bands")
     reps = cut(reps)
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keys.join(buckets, ["band", "key"]).select("rep", "anchor")
+    stars = keys.join(rekeyed(buckets, "band", "key"), ["band", "key"]).select("rep", "anchor")
     comps = cut(connected_components(stars, "rep", "anchor"))
     sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("component", "c")
     placed = (
-        comps.join(sizes, comps["component"] == sizes["c"]).drop("c")
+        comps.join(rekeyed(sizes, "c"), F.col("component") == F.col("c")).drop("c")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
         .join(reps.select(F.col("rep").alias("node"), "size"), "node")
     )
