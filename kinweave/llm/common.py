@@ -14,6 +14,12 @@ CHUNK_BYTES = 1 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes outside ASCII letters and digits, once A-Z are folded to a-z; what is not ASCII belongs to words.
+NOT_WORD = np.ones(256, dtype=bool)
+NOT_WORD[48:58] = NOT_WORD[97:123] = NOT_WORD[128:] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD1B54A32D192ED03)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -75,11 +81,14 @@ class Words:
     start/end: byte ranges of the words in ``raw[base:]``; first[i]:first[i+1] are the words of text i.
     """
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, gaps: np.ndarray = WHITE, fold: np.ndarray | None = None):
+        """gaps: bytes that are in no word; fold: what each byte is read as."""
         self.base = int(offs[0])
         self.bytes = raw[self.base : int(offs[-1])]
+        if fold is not None:
+            self.bytes = fold[self.bytes]
         rel = offs - self.base
-        ink = ~WHITE[self.bytes]
+        ink = ~gaps[self.bytes]
         n = len(ink)
         begin = ink.copy()
         begin[1:] &= ~ink[:-1]

@@ -137,6 +137,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each distinct text, all its columns."""
+    key = F.concat(
+        F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"),
+        F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256),
+    )
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    names = kept.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text_sha256").alias("__key"))
+    return docs.withColumn("__key", key).join(names, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

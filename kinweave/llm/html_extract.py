@@ -5,7 +5,7 @@ adverts, forms, scripts, styles or reader comments, by tag, role, class or id, l
 ``window`` neighbouring lines are summed; text surges where that sum rises above a threshold and dives where it
 falls back, and the lines between a surge and its dive are kept. Where the page has an ``article`` or ``main``, lines
 outside it have length nought and the threshold is nought; elsewhere characters inside links do not count and
-the threshold is ``share`` of the largest sum, ``floor`` characters at least.
+the threshold is ``share`` of the largest sum, ``floor`` characters at least, three tenths of that sum at most.
 
 Edge cases: null or empty html: empty text. Unclosed tags, comments and character references: read as browsers do, to
 the end of the enclosing element. Repeated rows: each extracted. Null ids and urls pass through. Empty table: no rows.
@@ -185,7 +185,7 @@ def extract(html: str | None, window: int = WINDOW, share: float = SHARE, floor:
     sums = [sum(size[i : i + window]) for i in range(len(size))]
     if limit < 0:
         top = max(sums, default=0)
-        limit = min(max(share * top, floor), 0.9 * top)
+        limit = min(max(share * top, floor), 0.3 * top)
     kept, within = [], False
     for i, (text, links, own) in enumerate(lines):
         if not within and sums[i] > limit:

@@ -202,3 +202,9 @@ def near_duplicates(
         "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("group_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
     )
     return named.unionAll(unnamed)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, and those without doc_id; all their columns."""
+    gone = near_duplicates(docs, id_col, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

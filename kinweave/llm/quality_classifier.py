@@ -206,3 +206,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(_score(model), "doc_id long, score double, n_passages long")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
+
+
+def _keep(model: Model, place: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offs = text_buffers(b.column(place))
+            found = [model.score(*encode(Words(raw, offs[i : j + 1]))) for i, j in pieces(offs)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= threshold))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model predicts as 1, all their columns; rows never move."""
+    return docs.mapInArrow(_keep(model, docs.columns.index(text_col), threshold), docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import exact_dedup, html_extract, mixing, quality_classifier, substring_dedup, url_filter, warc
+from kinweave.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, quality_classifier, substring_dedup, url_filter, warc
 from kinweave.llm.common import table
 from kinweave.llm.ngram_join import near_duplicates
 
@@ -34,6 +34,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -65,6 +70,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_mixing"] = mixing.oracle()
 
 
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
