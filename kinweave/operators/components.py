@@ -80,3 +80,29 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
     roots = links.select(F.col("v").alias("node")).unionAll(loops).distinct()
     roots = roots.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return labels.unionAll(roots)
+
+
+def propagation_step(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """One synchronous round over (entity_key, label) and (src, dst): least of own and neighbours' labels, and whether
+    it changed. The old label rides along, so convergence is a sum and not a self-join."""
+    near = links.join(labels.select(F.col("entity_key").alias("dst"), F.col("label").alias("seen")), "dst").groupBy("src").agg(F.min("seen").alias("seen"))
+    joined = labels.join(near.withColumnRenamed("src", "entity_key"), "entity_key", "left")
+    best = F.least("label", F.coalesce("seen", "label"))
+    return joined.select("entity_key", best.alias("label"), (best < F.col("label")).alias("changed"))
+
+
+def label_propagation(nodes: DataFrame, links: DataFrame, max_rounds: int = 30) -> tuple[DataFrame, int, bool]:
+    """(labels, rounds, settled): the classic loop, one checkpoint a round; rounds include the last, idle one."""
+    labels = nodes.select("entity_key", F.col("entity_key").alias("label")).distinct()
+    for n in range(1, max_rounds + 1):
+        step = cut(propagation_step(labels, links))
+        labels = step.select("entity_key", "label")
+        if not step.where("changed").take(1):
+            return labels, n, True
+    return labels, max_rounds, False
+
+
+def resolve(nodes: DataFrame, edges: DataFrame, left: str = "left_entity_key", right: str = "right_entity_key") -> DataFrame:
+    """(entity_key, resolved_id) for every node; nodes without edges keep their own key."""
+    found = connected_components(edges, left, right).select(F.col("node").alias("entity_key"), F.col("component").alias("resolved_id"))
+    return nodes.select("entity_key").distinct().join(found, "entity_key", "left").select("entity_key", F.coalesce("resolved_id", "entity_key").alias("resolved_id"))
