@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.text import SIZE_BUCKETS, bucket, bucket_order, mask_pii, severity, source_id
 
-one = F.count(F.lit(1))
 
 
 def size_histogram(clusters: DataFrame, spec: str = "five") -> DataFrame:
