@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.license_rules import HEADS, rules
+from kinweave.operators.components import cut
 
 #: (phrase, label); every place of one is reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased, as a union of ranges, which Java tests far faster than its complement.
+RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -32,21 +34,35 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _any(text: Column, parts) -> Column:
-    test = F.lit(False)
-    for p in parts:
-        test = test | text.contains(p)
-    return test
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def worth_a_look(text: Column, base) -> Column:
+    """Whether a text can hold a base phrase or a match; F.lower takes more letters to a-z than asked, never fewer."""
+
+    def judged(low: Column) -> Column:
+        test = F.lit(False)
+        for h in HEADS:
+            test = test | low.contains(h)
+        for phrase, _ in base:
+            every = F.lit(True)
+            for w in sorted(phrase.split(), key=len, reverse=True):
+                every = every & low.contains(w)
+            test = test | every
+        return test
+
+    return F.exists(F.array(F.lower(text)), judged)  # bound to a variable, the lower-cased text is made once
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, signatures: list | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     signatures = rules() if signatures is None else signatures
-    low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.col(id_col).alias("doc_id"), low.alias("low"))
-    heads = sorted({*HEADS, *(p.split()[-1] for p, _ in base)})
-    hot = rows.withColumn("padded", F.when(_any(F.col("low"), heads), F.concat(F.lit(" "), F.regexp_replace("low", GAP, " "), F.lit(" "))))
-    hot = hot.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("padded").isNotNull(), F.xxhash64("low")).alias("hash"), F.replace("padded", F.lit("  "), F.lit(" ")).alias("padded"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    plain = rows.select("doc_id", "hash", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    spaced = F.replace(F.concat(F.lit(" "), F.regexp_replace(_lower(F.col("text")), GAP, " "), F.lit(" ")), F.lit("  "), F.lit(" "))
+    hot = cut(rows.where(worth_a_look(F.col("text"), base)).select("doc_id", "hash", spaced.alias("padded")))
+    n_words = F.greatest(_spaces(F.col("padded")) - 1, F.lit(0))
     firsts, lasts, counts, names = [], [], [], []
     for phrase, label in base:
         parts = F.when(F.col("padded").contains(f" {phrase} "), F.split("padded", rf"(?<= ){phrase}(?= )", -1))
@@ -54,43 +70,46 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
         n = F.when(n > 0, n).otherwise(0)
         counts.append(n)
         firsts.append(F.when(n > 0, _spaces(F.element_at(parts, 1)) - 1))
-        lasts.append(F.when(n > 0, F.col("n_words") - _spaces(F.element_at(parts, -1)) + 1 - len(phrase.split())))
+        lasts.append(F.when(n > 0, n_words - _spaces(F.element_at(parts, -1)) + 1 - len(phrase.split())))
         names.append(F.when(n > 0, F.lit(label)))
     least = lambda xs: F.array_min(F.array_compact(F.array(*xs))).cast("long")
     most = lambda xs: F.array_max(F.array_compact(F.array(*xs))).cast("long")
     covered = sum((c * len(p.split()) for c, (p, _) in zip(counts, base)), F.lit(0))
-    plain = hot.select(
-        "doc_id", "n_words", "hash", sum(counts, F.lit(0)).cast("long").alias("n_base"), least(firsts).alias("first_word"), most(lasts).alias("last_word"),
+    # of repeated rows one is enough: results are joined back by id and hash
+    places = hot.select(
+        "doc_id", "hash", sum(counts, F.lit(0)).cast("long").alias("n_base"), least(firsts).alias("first_word"), most(lasts).alias("last_word"),
         F.array_sort(F.array_compact(F.array(*names))).alias("base"), covered.cast("long").alias("base_words"),
-    )
-    found = detections(hot.where("padded is not null").select("doc_id", "hash", "padded"), signatures) if signatures else None
-    if found is None:
-        joined = plain.withColumns({"own": F.array().cast("array<string>"), "own_words": F.lit(0).cast("long"), "n_detections": F.lit(0).cast("long")})
-    else:
-        per = found.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("label")).alias("own"), F.sum("words").cast("long").alias("own_words"), F.count(F.lit(1)).alias("n_detections"))
-        per = per.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "own", "own_words", "n_detections")
-        joined = plain.join(per, plain["hash"].eqNullSafe(per["h"]) & plain["doc_id"].eqNullSafe(per["d"]), "left").drop("d", "h")
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))
-    share = F.greatest("base_words", F.coalesce("own_words", F.lit(0))) / F.greatest("n_words", F.lit(1))
-    return joined.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.least(share, F.lit(1.0)).alias("score"), F.coalesce("n_detections", F.lit(0)).cast("long").alias("n_detections"),
+    ).where("n_base > 0").dropDuplicates(["doc_id", "hash"])
+    per = detections(hot, signatures).groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("label")).alias("own"), F.sum("words").cast("long").alias("own_words"), F.count(F.lit(1)).alias("n_detections"))
+    for part, mark in ((places, "p"), (per, "q")):
+        part = part.withColumnsRenamed({"doc_id": f"{mark}_id", "hash": f"{mark}_hash"})
+        plain = plain.join(part, F.col("hash").eqNullSafe(F.col(f"{mark}_hash")) & F.col("doc_id").eqNullSafe(F.col(f"{mark}_id")), "left").drop(f"{mark}_id", f"{mark}_hash")
+    none = F.array().cast("array<string>")
+    labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), F.coalesce("own", none))))
+    share = F.greatest(F.coalesce("base_words", F.lit(0)), F.coalesce("own_words", F.lit(0))) / F.greatest("n_words", F.lit(1))
+    return plain.select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join(F.coalesce("base", none), ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), F.least(share, F.lit(1.0)).alias("score"), F.coalesce("n_detections", F.lit(0)).cast("long").alias("n_detections"),
     )
 
 
 def detections(texts: DataFrame, signatures) -> DataFrame:
     """(doc_id, hash, label, words) of the matches in (doc_id, hash, padded) that no other suppresses."""
-    table = F.array(*[
-        F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(rf"(?<= )(?:{expression})(?= )").alias("expression"), F.lit(priority).alias("priority"))
-        for n, label, keyword, expression, priority in signatures
-    ])
-    tried = texts.distinct().select("doc_id", "hash", "padded", F.explode(F.filter(table, lambda r: F.contains(F.col("padded"), r["keyword"]))).alias("r"))
+    by_keyword: dict[str, list] = {}
+    for n, label, keyword, expression, priority in signatures:
+        rule = F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(rf"(?<= )(?:{expression})(?= )").alias("expression"), F.lit(priority).alias("priority"))
+        by_keyword.setdefault(keyword, []).append(rule)
+    if not by_keyword:
+        return texts.select("doc_id", "hash", F.lit("").alias("label"), F.lit(0).alias("words")).limit(0)
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in by_keyword.items()])
+    hit = F.filter(table, lambda k: F.contains(F.col("padded"), k["keyword"]))
+    tried = texts.select("doc_id", "hash", "padded", F.explode(F.flatten(F.transform(hit, lambda k: k["rules"]))).alias("r"))
     matched = tried.select("doc_id", "hash", "r", "padded", F.regexp_extract_all("padded", F.col("r.expression"), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
     gaps = F.split(F.col("padded"), F.col("r.expression"), F.lit(-1))
     placed = matched.select(
         "doc_id", "hash", "r.rule", "r.label", "r.priority",
         F.posexplode(F.arrays_zip(F.transform(F.slice(gaps, 1, F.size("hits")), _spaces).alias("gap"), F.transform("hits", _spaces).alias("inner"))).alias("k", "m"),
-    )
+    ).distinct()  # repeated rows
     order = Window.partitionBy("doc_id", "hash", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = placed.withColumn("start", F.sum(F.col("m.gap") + F.col("m.inner")).over(order) - F.col("m.inner") - 1)
     spans = spans.select("doc_id", "hash", "rule", "label", "priority", "start", (F.col("start") + F.col("m.inner") + 1).alias("end"))
