@@ -24,10 +24,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+#: Rows of a small table that go into one checkpoint file.
+ROWS_PER_FILE = 50_000
+FILES = 8
+
+
+def files_for(rows: int) -> int:
+    return max(FILES, -(-rows // ROWS_PER_FILE))
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder; ``files``: for a table of few rows,
+    how many files it is worth, instead of one for each shuffle partition."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if files is None else df.coalesce(files)).checkpoint()
 
 
 def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
@@ -47,29 +57,33 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def connected_components(edges: DataFrame, left: str = "left", right: str = "right", max_rounds: int = 60) -> DataFrame:
+def _star_round(links: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over (u, v), u > v."""
+    both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(rekeyed(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    large = large.distinct()
+    smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+    joined = rekeyed(large, "u").join(rekeyed(smallest, "u"), "u")
+    small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(smallest.select("u", F.col("m").alias("v")))
+    return small.where("u <> v").distinct()
+
+
+def connected_components(edges: DataFrame, left: str = "left", right: str = "right", max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """Return ``(node, component)`` for every node of ``edges``; component = smallest node of it.
 
-    Nulls and self loops are ignored as links (a node that only has a self loop is still returned).
-    Raises ``RuntimeError`` if ``max_rounds`` is not enough.
+    Nulls and self loops are ignored as links (a node that only has a self loop is still returned). Each round is
+    checkpointed, in as many files as its rows are worth (``files`` for the first, whose rows are not known). Raises
+    ``RuntimeError`` if ``max_rounds`` is not enough.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    links = cut(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     before = _fingerprint(links)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(rekeyed(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = rekeyed(large, "u").join(rekeyed(smallest, "u"), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(smallest.select("u", F.col("m").alias("v")))
-        links = cut(small.where("u <> v").distinct())
+        links = cut(_star_round(links), files_for(before[0]))
         now = _fingerprint(links)
         if now == before:
             break
