@@ -137,8 +137,93 @@ def jaro_winkler(a: Column, b: Column, always_boost: bool = False) -> Column:
     return _similarity_udf(always_boost)(a, b)
 
 
+_VOWELS = set("AEIOU")
+
+
+def metaphone_code(word: str) -> str:
+    """Sound code of an English word after the published Metaphone rules; other characters than letters are dropped."""
+    w = "".join(c for c in word.upper() if "A" <= c <= "Z")
+    if w[:2] in ("AE", "GN", "KN", "PN", "WR"):
+        w = w[1:]
+    elif w[:1] == "X":
+        w = "S" + w[1:]
+    elif w[:2] == "WH":
+        w = "W" + w[2:]
+    out, n = [], len(w)
+    for i, c in enumerate(w):
+        before, after, then = w[i - 1 : i], w[i + 1 : i + 2], w[i + 2 : i + 3]
+        if c == before and c != "C":
+            continue
+        if c in _VOWELS:
+            out += [c] * (i == 0)
+        elif c == "B":
+            out += ["B"] * (not (before == "M" and i == n - 1))
+        elif c == "C":
+            if after == "I" and then == "A":
+                out.append("X")
+            elif after == "H":
+                out.append("K" if before == "S" else "X")
+            elif after in ("I", "E", "Y") and after:
+                out += ["S"] * (before != "S")
+            else:
+                out.append("K")
+        elif c == "D":
+            out.append("J" if after == "G" and then and then in "EIY" else "T")
+        elif c == "G":
+            if after == "H" and not (i + 2 < n and then in _VOWELS):
+                continue
+            if after == "N" and w[i + 1 :] in ("N", "NED"):
+                continue
+            if before == "D" and after and after in "EIY":
+                continue
+            out.append("J" if after and after in "EIY" and before != "G" else "K")
+        elif c == "H":
+            if before and before in "CSPTG":
+                continue
+            out += ["H"] * (after in _VOWELS and (i == 0 or before not in _VOWELS or after in _VOWELS))
+        elif c == "K":
+            out += ["K"] * (before != "C")
+        elif c == "P":
+            out.append("F" if after == "H" else "P")
+        elif c == "Q":
+            out.append("K")
+        elif c == "S":
+            out.append("X" if after == "H" or (after == "I" and then and then in "OA") else "S")
+        elif c == "T":
+            if after == "I" and then and then in "OA":
+                out.append("X")
+            elif after == "H":
+                out.append("T" if then == "M" else "0")
+            elif not (after == "C" and then == "H"):
+                out.append("T")
+        elif c == "V":
+            out.append("F")
+        elif c in "WY":
+            out += [c] * (after in _VOWELS)
+        elif c == "X":
+            out += ["K", "S"]
+        elif c == "Z":
+            out.append("S")
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def _metaphone_udf():
+    @F.pandas_udf("string")
+    def metaphone(word: pd.Series) -> pd.Series:
+        return word.map(metaphone_code, na_action="ignore")
+
+    return metaphone
+
+
+def metaphone(word: Column) -> Column:
+    return _metaphone_udf()(word)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the similarity functions known to SQL expressions of fuzzy rules."""
+    """Make the similarity and sound functions known to SQL expressions of fuzzy rules."""
+    spark.udf.register("metaphone", _metaphone_udf())
     for name in ("jaro_winkler_similarity", "jaro_winkler"):
         spark.udf.register(name, _similarity_udf(False))
     spark.udf.register("jaro_winkler_boosted", _similarity_udf(True))
@@ -150,5 +235,6 @@ def fuzzy_templates() -> list[dict]:
         {"id": "exact", "label": "Equal", "sql": "CASE WHEN <a>.{col} = <b>.{col} THEN 1.0 ELSE 0.0 END", "threshold": 1.0},
         {"id": "jaro_winkler", "label": "Jaro-Winkler", "sql": "jaro_winkler_similarity(<a>.{col}, <b>.{col})", "threshold": 0.85},
         {"id": "levenshtein", "label": "Edit distance", "sql": "1.0 - levenshtein(<a>.{col}, <b>.{col}) / greatest(length(<a>.{col}), length(<b>.{col}), 1)", "threshold": 0.8},
+        {"id": "metaphone", "label": "Same sound code", "sql": "CASE WHEN metaphone(<a>.{col}) = metaphone(<b>.{col}) THEN 1.0 ELSE 0.0 END", "threshold": 1.0},
         {"id": "soundex", "label": "Sounds alike", "sql": "CASE WHEN soundex(<a>.{col}) = soundex(<b>.{col}) THEN 1.0 ELSE 0.0 END", "threshold": 1.0},
     ]

@@ -49,12 +49,12 @@ def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.greatest(F.col(k), F.col(k)) for k in keys})
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], row["s"]
+def _state(links: DataFrame) -> tuple[int, int]:
+    """Links (u, v), and nodes that are not yet in place: with two links upwards, or links both up and down."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = per.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("bad")).first()
+    return row["n"] or 0, row["bad"]
 
 
 def _star_round(links: DataFrame) -> DataFrame:
@@ -79,16 +79,13 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
     links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    before = _fingerprint(links)
+    n, bad = _state(links)
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if not bad:
             break
-        links = cut(_star_round(links), files_for(before[0]))
-        now = _fingerprint(links)
-        if now == before:
-            break
-        before = now
-    else:
+        links = cut(_star_round(links), files_for(n))
+        n, bad = _state(links)
+    if bad:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node")).unionAll(loops).distinct()

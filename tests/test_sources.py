@@ -84,6 +84,17 @@ def test_text_functions(spark):
     assert df.select(T.contains_literal(F.col("a"), "IM")).first()[0] and not df.select(T.contains_literal(F.col("a"), "%")).first()[0]
 
 
+def test_sound_codes(spark):
+    for word, code in (("Thompson", "0MPSN"), ("Smith", "SM0"), ("Knight", "NT"), ("Physics", "FSKS"), ("Which", "WX"), ("Xavier", "SFR"), ("Dumb", "TM"), ("school", "SKL"), ("nation", "NXN"), ("edge", "EJ"), ("", ""), ("Phone", "FN"), ("fone", "FN"), ("catch", "KX")):
+        assert T.metaphone_code(word) == code, (word, T.metaphone_code(word))
+    T.register(spark)
+    rows = spark.sql("SELECT metaphone(v), soundex(v) FROM VALUES ('Stephen'), ('Steven'), (NULL) t(v)").collect()
+    assert rows[0][0] == rows[1][0] == "STFN" and rows[2][0] is None
+    for t in T.fuzzy_templates():
+        expression = t["sql"].replace("{col}", "v").replace("<a>.", "").replace("<b>.", "")
+        assert spark.createDataFrame([("x",)], "v string").selectExpr(expression).first()[0] == 1.0
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     schema = "id int, email string, updated_at timestamp"
