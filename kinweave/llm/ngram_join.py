@@ -3,14 +3,14 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. A text of fewer than ``n`` words has one shingle, all its
 words (an empty or null text: the empty shingle), so that short texts are near each other only if equal.
 
-Plan: texts are read once for signatures; rows with equal word sequences form one *class* (smallest doc_id
-stands for it); class representatives are shuffled on their band hashes; buckets are linked as stars and
+Plan: texts are read once for signatures; rows with equal word sequences are *copies* (smallest doc_id
+stands for them); representatives are shuffled on their band hashes; buckets are linked as stars and
 contracted to candidate components; the texts of candidates alone are moved once more and verified in
 blocks, on full n-gram sets. A large component is dealt out over pairs of blocks, each its own task group;
-a block pair returns one row per document with its number of links and one link to its group, never the
+a block pair returns one row per document with its number of links and one link to its class, never the
 list of pairs.
 
-Edge cases: null doc_id: the row comes back with null class and group and no links. Repeated rows: each
+Edge cases: null doc_id: the row comes back with null class and no links. Repeated rows: each
 comes back; they are copies of each other (doc_id must otherwise be unique). Empty table: no rows. Other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import Words, batch, mix, pieces, span_hashes, text_buffers
-from kinweave.operators.components import connected_components, cut, rekeyed
+from kinweave.operators.components import connected_components, cut, files_for, rekeyed
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -157,9 +157,9 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD,
     miss: float = MISS, max_hashes: int = MAX_HASHES, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of equal word sequences), group_id
-    (smallest doc_id of all that are joined by links), n_copies (rows of the class) and n_links (other rows whose
-    similarity is at least ``threshold``, copies included)."""
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of all that links join), n_links (other rows whose
+    similarity is at least ``threshold``, copies included), copy_of (smallest doc_id of the same word sequence)
+    and n_copies (rows of that sequence)."""
     bands, rows = choose_bands(threshold, miss, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, seq1 long, seq2 long, bands array<long>"))
@@ -167,11 +167,12 @@ def near_duplicates(
         sigs.where("doc_id is not null").groupBy("seq1", "seq2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
     reps = rekeyed(classes, "seq1", "seq2").join(sigs.withColumnRenamed("doc_id", "rep"), ["seq1", "seq2", "rep"]).dropDuplicates(["rep"]).select("rep", "size", "bands")
-    reps = cut(reps)
+    files = files_for(sigs.count())
+    reps = cut(reps, files)
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = keys.join(rekeyed(buckets, "band", "key"), ["band", "key"]).select("rep", "anchor")
-    comps = cut(connected_components(stars, "rep", "anchor"))
+    comps = connected_components(stars, "rep", "anchor", files=files)
     sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("component", "c")
     placed = (
         comps.join(rekeyed(sizes, "c"), F.col("component") == F.col("c")).drop("c")
@@ -188,23 +189,22 @@ def near_duplicates(
         .select("rep", "component", "size", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     )
     found = cut(
-        dealt.groupBy("component", "bi", "bj").applyInArrow(_verify(n, threshold), "rep long, linked long, root long")
+        dealt.groupBy("component", "bi", "bj").applyInArrow(_verify(n, threshold), "rep long, linked long, root long").repartition(files)
     )
-    groups = connected_components(found, "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    groups = connected_components(found, "rep", "root", files=files).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     per_class = (
         classes.join(linked, "rep", "left").join(groups, "rep", "left")
-        .select("seq1", "seq2", F.col("rep").alias("class_id"), F.coalesce("group", "rep").alias("group_id"), F.col("size").alias("n_copies"),
+        .select("seq1", "seq2", F.col("rep").alias("copy_of"), F.coalesce("group", "rep").alias("class_id"), F.col("size").alias("n_copies"),
                 (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
-    named = sigs.where("doc_id is not null").select("doc_id", "seq1", "seq2").join(per_class, ["seq1", "seq2"]).select("doc_id", "class_id", "group_id", "n_copies", "n_links")
-    unnamed = sigs.where("doc_id is null").select(
-        "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("group_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
-    )
+    named = sigs.where("doc_id is not null").select("doc_id", "seq1", "seq2").join(per_class, ["seq1", "seq2"]).select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
+    none, nought = F.lit(None).cast("long"), F.lit(0).cast("long")
+    unnamed = sigs.where("doc_id is null").select("doc_id", none.alias("class_id"), nought.alias("n_links"), none.alias("copy_of"), nought.alias("n_copies"))
     return named.unionAll(unnamed)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, and those without doc_id; all their columns."""
-    gone = near_duplicates(docs, id_col, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(docs, id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

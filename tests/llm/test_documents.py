@@ -44,8 +44,8 @@ def test_ngram_join(spark):
                 x, y = find(known[a][0]), find(known[b][0])
                 root[max(x, y)] = min(x, y)
     want = Counter((i, links[k], find(i)) for k, (i, _) in enumerate(known))
-    assert Counter((g["doc_id"], g["n_links"], g["group_id"]) for g in got if g["doc_id"] is not None) == want
-    assert all(g["group_id"] is None and g["n_links"] == 0 for g in got if g["doc_id"] is None)
+    assert Counter((g["doc_id"], g["n_links"], g["class_id"]) for g in got if g["doc_id"] is not None) == want
+    assert all(g["class_id"] is None and g["n_links"] == 0 for g in got if g["doc_id"] is None)
     assert ngram_join.near_duplicates(documents(spark, True)).count() == 0
     kept = {r["doc_id"] for r in collected(ngram_join.one_of_each(documents(spark)))}
     assert kept - {None} == {find(i) for i, _ in known} and ngram_join.one_of_each(documents(spark)).columns == documents(spark).columns
