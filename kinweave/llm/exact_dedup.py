@@ -125,7 +125,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     suspects = recipes.join(rekeyed(repeated, "recipe"), "recipe").select("doc_id", "recipe")
     texts = base.join(suspects.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = texts.select("text").mapInArrow(_chunks(digest_bytes), "digest binary, content binary").distinct()
-    clashes = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    clashes = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not clashes.isEmpty():  # a digest stands for two contents: tell texts apart by their SHA-256 as well
         recipes = recipes.withColumn("recipe", F.concat("recipe", F.encode("text_sha256", "UTF-8")))
     rows = recipes.groupBy("recipe", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
