@@ -29,6 +29,8 @@ from kinweave.llm.common import Words, mix, pieces, span_hashes, text_buffers
 
 WINDOW = 35
 UNIT_BYTES = 4 << 20
+#: Units grow with the root of the corpus from here on, up to sixteen times, so that rows (a unit and bucket each) stay full.
+STEADY_BYTES = 16 << 30
 
 _A = np.uint64(0x8CB92BA72F3D8DD7)
 _B = np.uint64(0xAEF17502108EF2D9)
@@ -146,6 +148,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unit_bytes = int(unit_bytes * min(16.0, max(1.0, (size / STEADY_BYTES) ** 0.5)))
     units = max(-(-size // unit_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = base.withColumn("unit", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(3)), F.lit(units)).cast("int"))
     sent = base.groupBy("unit").applyInArrow(_send(window, units), "bucket int, unit int, hashes binary")
