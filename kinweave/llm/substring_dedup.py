@@ -1,16 +1,15 @@
 """Substring dedup: words covered by a window of ``window`` words that starts anywhere else are removed.
 
-The method dealt, matching statistics against broadcast suffix automata of reference shards, fits a bounded
-reference; here the reference is the corpus itself, so every document would stream through every shard (work as
-the square of the corpus) and the automata have no size bound to broadcast. See the README for figures. What is
-done instead gives the same spans: the windows of all documents are named by 64-bit rolling hashes, dealt to
-buckets by an independent second hash, and counted there; a window that occurs twice is a match of length
-``window`` in the matching statistics, and maximal spans are the unions of such windows.
-
-Plan: documents are grouped into units of a few MB. A unit sends, for each bucket, one row with its sorted distinct
-hashes (twice those that repeat inside the unit), so a window that a third of the corpus shares costs one entry
-a unit. A bucket sends back to each unit the hashes it has seen twice. Both passes over the texts use the same
-exchange of documents by unit.
+Documents stream through suffix automata of reference shards for matching statistics, and maximal spans of at least
+``window`` matching words go. Here the reference is the corpus itself, whose automata no executor could hold and
+which each document would have to pass in full. So a shard is made for each unit of documents (a few MB): it holds the
+passages that other units share with it, and reaches its unit by a shuffle instead of a broadcast.
+
+Plan: a unit sends, for each bucket, one row with its distinct window hashes, so a window that a third of the corpus
+shares costs one entry a unit. A bucket asks, for each hash of two units and more, the next unit in the ring of its
+holders to serve the one before; so no unit serves more than one for any window. A served unit receives the runs
+of windows asked for as text, builds the automaton of these, and streams its documents through it; words decide, hashes only
+route. Windows that repeat inside a unit are counted there. All three passes over the texts use one exchange.
 
 Edge cases: null text: no words. Null doc_id: such rows are handled as any other. Repeated rows: copies, so all
 of their windows repeat. Texts shorter than a window stay whole. Empty table: no rows.
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Words, mix, pieces, span_hashes, text_buffers
+from kinweave.llm.common import Words, pieces, span_hashes, text_buffers
+from kinweave.llm.suffix_automaton import Automaton, covered
 
 WINDOW = 35
 UNIT_BYTES = 4 << 20
@@ -62,9 +62,9 @@ def _send(window: int, units: int):
         key, bucket = np.concatenate(keys), np.concatenate(buckets)
         order = np.lexsort((key, bucket))
         key, bucket = key[order], bucket[order]
-        if len(key) > 2:  # two of a kind are enough
-            third = np.concatenate([[False, False], (key[2:] == key[:-2]) & (bucket[2:] == bucket[:-2])])
-            key, bucket = key[~third], bucket[~third]
+        if len(key):
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+            key, bucket = key[fresh], bucket[fresh]
         names, at = np.unique(bucket, return_index=True)
         ends = np.append(at[1:], len(key))
         return pa.table({"bucket": names, "unit": np.full(len(names), unit, np.int32), "hashes": [key[a:b].tobytes() for a, b in zip(at, ends)]}, schema=schema)
@@ -72,43 +72,110 @@ def _send(window: int, units: int):
     return run
 
 
-def _count(t: pa.Table) -> pa.Table:
-    blobs = t.column("hashes").to_pylist()
-    parts = [np.frombuffer(b, np.uint64) for b in blobs]
+def _ask(t: pa.Table) -> pa.Table:
+    """For each hash of several units, the next of its units in the ring is asked to serve each: a row for each unit asked."""
+    parts = [np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()]
     key = np.concatenate(parts)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    hit = np.zeros(len(key), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    ends = np.cumsum([len(p) for p in parts])
-    names, found = [], []
-    for unit, a, b in zip(t.column("unit").to_pylist(), ends - [len(p) for p in parts], ends):
-        if hit[a:b].any():
-            names.append(unit)
-            found.append(np.unique(key[a:b][hit[a:b]]).tobytes())
-    return pa.table({"unit": np.array(names, np.int32), "hashes": found}, schema=pa.schema([("unit", pa.int32()), ("hashes", pa.binary())]))
+    unit = np.repeat(t.column("unit").to_numpy(), [len(p) for p in parts])
+    order = np.lexsort((unit, key))
+    key, unit = key[order], unit[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(key)))
+    holder = np.append(unit[1:], 0)[: len(unit)].astype(np.int32)
+    holder[heads + size - 1] = unit[heads]
+    several = np.repeat(size > 1, size)
+    key, unit, holder = key[several], unit[several], holder[several]
+    order = np.lexsort((unit, holder))
+    key, unit, holder = key[order], unit[order], holder[order]
+    names, at = np.unique(holder, return_index=True)
+    ends = np.append(at[1:], len(key))
+    return pa.table({"unit": names.astype(np.int32), "askers": [unit[a:b].astype(np.int32).tobytes() for a, b in zip(at, ends)], "hashes": [key[a:b].tobytes() for a, b in zip(at, ends)]}, schema=pa.schema([("unit", pa.int32()), ("askers", pa.binary()), ("hashes", pa.binary())]))
+
+
+def _serve(window: int):
+    schema = pa.schema([("unit", pa.int32()), ("passages", pa.list_(pa.binary()))])
+
+    def run(docs: pa.Table, requests: pa.Table) -> pa.Table:
+        wanted = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in requests.column("hashes").to_pylist())])
+        askers = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(b, np.int32) for b in requests.column("askers").to_pylist())])
+        order = np.argsort(wanted)
+        wanted, askers = wanted[order], askers[order]
+        open_ = np.ones(len(wanted), dtype=bool)
+        out: dict[int, list[bytes]] = {}
+        raw, offs = text_buffers(docs.column("text")) if docs.num_rows and len(wanted) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        for i, j in pieces(offs):
+            words = Words(raw, offs[i : j + 1])
+            begins, key, _ = _windows(words, window)
+            if not len(begins):
+                continue
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            hit = np.flatnonzero((wanted[at] == key) & open_[at])
+            _, once = np.unique(at[hit], return_index=True)  # each window is served once
+            hit = hit[np.sort(once)]
+            if not len(hit):
+                continue
+            open_[at[hit]] = False
+            begin, to = begins[hit], askers[at[hit]]
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(begin) != 1) | (to[1:] != to[:-1])]))
+            last = np.append(heads[1:], len(begin)) - 1
+            view = memoryview(words.bytes)
+            for unit, p, q in zip(to[heads].tolist(), words.start[begin[heads]].tolist(), words.end[begin[last] + window - 1].tolist()):
+                out.setdefault(unit, []).append(bytes(view[p:q]))
+        return pa.table({"unit": list(out), "passages": list(out.values())}, schema=schema)
+
+    return run
+
+
+def _repeats(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the windows, named by two hashes, occur twice here."""
+    order = np.lexsort((b, a))
+    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    twice = np.zeros(len(a), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice
+
+
+def _shard(passages: pa.ChunkedArray) -> Automaton | None:
+    rows = [p for cell in passages.to_pylist() for p in cell]
+    if not rows:
+        return None
+    automaton = Automaton()
+    raw, offs = text_buffers(pa.array(rows, pa.binary()))
+    for i, j in pieces(offs):
+        words = Words(raw, offs[i : j + 1])
+        h = words.hashes().tolist()
+        for p, q in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            automaton.add(h[p:q])
+    return automaton
 
 
 def _remove(window: int, with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64())]
     schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
 
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in replies.column("hashes").to_pylist())]))
+    def run(docs: pa.Table, shard: pa.Table) -> pa.Table:
+        automaton = _shard(shard.column("passages"))
         raw, offs = text_buffers(docs.column("text")) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        parts = [_windows(Words(raw, offs[i : j + 1]), window) for i, j in pieces(offs)]
+        none = [np.zeros(0, np.uint64)]
+        twice = _repeats(np.concatenate(none + [p[1] for p in parts]), np.concatenate(none + [p[2] for p in parts]))
+        done = 0
         total, removed, shas, spans, texts = [], [], [], [], []
-        for i, j in pieces(offs):
+        for (i, j), (begins, _, _) in zip(pieces(offs), parts):
             words = Words(raw, offs[i : j + 1])
             first, count = words.first, len(words.start)
-            gone = np.zeros(count + 1, dtype=np.int64)
-            begins, key, _ = _windows(words, window)
-            if len(begins) and len(known):
-                at = np.searchsorted(known, key)
-                begins = begins[known[np.minimum(at, len(known) - 1)] == key]
-                gone[begins] += 1
-                gone[begins + window] -= 1
-            kept = np.cumsum(gone)[:count] == 0
+            change = np.zeros(count + 1, dtype=np.int64)
+            local = begins[twice[done : done + len(begins)]]
+            done += len(begins)
+            change[local] += 1
+            change[local + window] -= 1
+            kept = np.cumsum(change)[:count] == 0
+            if automaton is not None:
+                h = words.hashes().tolist()
+                for p, q in zip(first[:-1].tolist(), first[1:].tolist()):
+                    if q - p >= window:
+                        kept[p:q] &= ~covered([automaton.statistics(h[p:q])], window)
             kept_sum = np.concatenate([[0], np.cumsum(kept)])
             n = np.diff(first)
             k = kept_sum[first[1:]] - kept_sum[first[:-1]]
@@ -136,8 +203,8 @@ def _remove(window: int, with_text: bool):
                 shas.append(hashlib.sha256(out[a:b]).hexdigest())
                 if with_text:
                     texts.append(str(out[a:b], "utf-8"))
-        none = [np.zeros(0, np.int64)]
-        columns = {"doc_id": docs.column("doc_id"), "n_words": np.concatenate(none + total), "n_removed": np.concatenate(none + removed), "kept_sha256": shas, "n_spans": np.concatenate(none + spans)}
+        zero = [np.zeros(0, np.int64)]
+        columns = {"doc_id": docs.column("doc_id"), "n_words": np.concatenate(zero + total), "n_removed": np.concatenate(zero + removed), "kept_sha256": shas, "n_spans": np.concatenate(zero + spans)}
         return pa.table(columns | ({"kept_text": texts} if with_text else {}), schema=schema)
 
     return run
@@ -152,6 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = max(-(-size // unit_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = base.withColumn("unit", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(3)), F.lit(units)).cast("int"))
     sent = base.groupBy("unit").applyInArrow(_send(window, units), "bucket int, unit int, hashes binary")
-    replies = sent.groupBy("bucket").applyInArrow(_count, "unit int, hashes binary")
+    asked = sent.groupBy("bucket").applyInArrow(_ask, "unit int, askers binary, hashes binary")
+    shards = base.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_serve(window), "unit int, passages array<binary>")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
-    return base.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(_remove(window, with_text), out)
+    return base.groupBy("unit").cogroup(shards.groupBy("unit")).applyInArrow(_remove(window, with_text), out)
