@@ -118,7 +118,10 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_byte
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, sample: int = SAMPLE,
 ) -> None:
-    archives = planned(pages, id_col, url_col, html_col, min_bytes).mapInArrow(_write(archive_bytes, sample), "name string, content binary")
+    size = pages.agg(F.sum(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, size // (2 * archive_bytes))  # else as many archives as shuffle partitions
+    records = planned(pages, id_col, url_col, html_col, min_bytes).coalesce(tasks)
+    archives = records.mapInArrow(_write(archive_bytes, sample), "name string, content binary")
     archives.write.option("compression", "uncompressed").mode("errorifexists").parquet(path)
 
 
