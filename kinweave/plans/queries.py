@@ -500,11 +500,11 @@ def largest_clusters_topk(spark, d):
     return Q.largest(scoring.cluster_sizes(_members(spark, d, A)))
 
 
-@_query("""SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS runs, count(*) FILTER (o_orderstatus = 'O') AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed, round(avg(o_totalprice), 4) AS avg_duration, sum(o_custkey)::BIGINT AS entities FROM orders GROUP BY 1""")
+@_query("""SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS runs, count(*) FILTER (o_orderstatus = 'O') AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed, round(avg(CAST(round(o_totalprice * 100) AS BIGINT)), 4) AS avg_duration, sum(o_custkey)::BIGINT AS entities FROM orders GROUP BY 1""")
 def run_trends(spark, d):
     o = _t(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "SUCCESS").when(F.col("o_orderstatus") == "F", "FAILED").otherwise("RUNNING")
-    return Q.run_trends(o.select(F.col("o_orderdate").alias("started_at"), status.alias("status"), F.col("o_totalprice").alias("duration_seconds"), F.col("o_custkey").alias("entities_processed")))
+    return Q.run_trends(o.select(F.col("o_orderdate").alias("started_at"), status.alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("duration_seconds"), F.col("o_custkey").alias("entities_processed")))
 
 
 @_query("SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS avg_value, max(value) AS max_value FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1")
