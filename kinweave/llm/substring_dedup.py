@@ -128,26 +128,31 @@ def _serve(window: int):
 
 def _repeats(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the windows, named by two hashes, occur twice here."""
-    order = np.lexsort((b, a))
-    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    order = np.argsort(a)
+    same = a[order[1:]] == a[order[:-1]]
+    if (b[order[1:]][same] != b[order[:-1]][same]).any():  # the first hash stands for two windows: order by both
+        order = np.lexsort((b, a))
+        same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
     twice = np.zeros(len(a), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     return twice
 
 
-def _shard(passages: pa.ChunkedArray) -> Automaton | None:
+def _shard(passages: pa.ChunkedArray, window: int) -> tuple[Automaton, np.ndarray] | None:
+    """The automaton of the passages and the sorted hashes of their windows."""
     rows = [p for cell in passages.to_pylist() for p in cell]
     if not rows:
         return None
-    automaton = Automaton()
+    automaton, keys = Automaton(), []
     raw, offs = text_buffers(pa.array(rows, pa.binary()))
     for i, j in pieces(offs):
         words = Words(raw, offs[i : j + 1])
         h = words.hashes().tolist()
         for p, q in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             automaton.add(h[p:q])
-    return automaton
+        keys.append(_windows(words, window)[1])
+    return automaton, np.unique(np.concatenate(keys))
 
 
 def _remove(window: int, with_text: bool):
@@ -155,14 +160,14 @@ def _remove(window: int, with_text: bool):
     schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
 
     def run(docs: pa.Table, shard: pa.Table) -> pa.Table:
-        automaton = _shard(shard.column("passages"))
+        shard_of = _shard(shard.column("passages"), window)
         raw, offs = text_buffers(docs.column("text")) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         parts = [_windows(Words(raw, offs[i : j + 1]), window) for i, j in pieces(offs)]
         none = [np.zeros(0, np.uint64)]
         twice = _repeats(np.concatenate(none + [p[1] for p in parts]), np.concatenate(none + [p[2] for p in parts]))
         done = 0
         total, removed, shas, spans, texts = [], [], [], [], []
-        for (i, j), (begins, _, _) in zip(pieces(offs), parts):
+        for (i, j), (begins, key, _) in zip(pieces(offs), parts):
             words = Words(raw, offs[i : j + 1])
             first, count = words.first, len(words.start)
             change = np.zeros(count + 1, dtype=np.int64)
@@ -171,11 +176,16 @@ def _remove(window: int, with_text: bool):
             change[local] += 1
             change[local + window] -= 1
             kept = np.cumsum(change)[:count] == 0
-            if automaton is not None:
-                h = words.hashes().tolist()
-                for p, q in zip(first[:-1].tolist(), first[1:].tolist()):
-                    if q - p >= window:
-                        kept[p:q] &= ~covered([automaton.statistics(h[p:q])], window)
+            if shard_of is not None and len(begins):
+                # a match of a window's length is made of windows of the shard: only their runs need streaming
+                automaton, known = shard_of
+                hits = begins[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
+                if len(hits):
+                    h = words.hashes()
+                    cuts = np.flatnonzero(np.diff(hits) != 1) + 1
+                    for run_ in np.split(hits, cuts):
+                        p, q = int(run_[0]), int(run_[-1]) + window
+                        kept[p:q] &= ~covered([automaton.statistics(h[p:q].tolist())], window)
             kept_sum = np.concatenate([[0], np.cumsum(kept)])
             n = np.diff(first)
             k = kept_sum[first[1:]] - kept_sum[first[:-1]]
