@@ -44,7 +44,7 @@ def blocks(profile: DataFrame, blocking: str, cap: int = DEFAULT_CAP) -> DataFra
 def pairs(profile: DataFrame, rule: FuzzyRule, cap: int = DEFAULT_CAP) -> DataFrame:
     """(left_id, right_id, score) with score >= threshold, each pair once, in order of the ids' MD5.
 
-    Blocks above the cap are left out before the join, as the reference's audit rule asks; the size of a block and so the
+    Blocks above the cap are left out before the join (that is the rule's meaning); the size of a block and so the
     number of its pairs is bounded by the cap.
     """
     register(profile.sparkSession)

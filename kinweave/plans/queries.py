@@ -619,3 +619,67 @@ def metadata_findings(spark, d):
 def resolve_clusters(spark, d):
     """The flagship: entities of three sources to clusters and their sizes."""
     return scoring.cluster_sizes(_members(spark, d, A))
+
+
+@_query(_sql("SELECT DISTINCT * FROM (SELECT left_entity_key AS src, right_entity_key AS dst FROM lnk UNION ALL SELECT right_entity_key, left_entity_key FROM lnk)", I_B))
+def undirected_edges_distinct(spark, d):
+    return edges.both_ways(_links(spark, d, B), distinct=True)
+
+
+@_query(f"WITH {I_B}, {G} SELECT t AS identifier_type, v AS identifier_value_norm, n AS group_size FROM grp ORDER BY n DESC, t, v LIMIT 20")
+def problem_identifiers_topk(spark, d):
+    return edges.group_stats(_ids(spark, d, B)).orderBy(F.desc("group_size"), "identifier_type", "identifier_value_norm").limit(20).select("identifier_type", "identifier_value_norm", "group_size")
+
+
+def _runs(spark, d) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "SUCCESS").when(F.col("o_orderstatus") == "F", "FAILED").otherwise("SUCCESS_NO_CHANGES")
+    return _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("started_at"), status.alias("status"))
+
+
+@_query("SELECT count(*) AS runs, round(100.0 * count(*) FILTER (o_orderstatus <> 'F') / count(*), 1) AS success_rate FROM orders")
+def run_success_rate(spark, d):
+    return Q.success_rate(_runs(spark, d))
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'O' THEN 'SUCCESS' WHEN 'F' THEN 'FAILED' ELSE 'SUCCESS_NO_CHANGES' END AS status FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 25")
+def latest_runs_topk(spark, d):
+    return Q.latest_runs(_runs(spark, d), 25)
+
+
+GOLDEN = (Survivorship("status", "PRIORITY", ("orders", "events")), Survivorship("order_priority", "FREQUENCY"), Survivorship("number", "AGG_MAX"))
+
+
+@_query(f"""WITH {W_SQL}, s AS (SELECT resolved_id, status, row_number() OVER (PARTITION BY resolved_id ORDER BY CASE source_id WHEN 'orders' THEN 1 WHEN 'events' THEN 2 ELSE 999 END, recency DESC, status) AS k FROM w WHERE status IS NOT NULL),
+ p AS (SELECT resolved_id, order_priority, row_number() OVER (PARTITION BY resolved_id ORDER BY count(*) DESC, order_priority) AS k FROM w WHERE order_priority IS NOT NULL GROUP BY 1, 2), n AS (SELECT resolved_id, max(number) AS number FROM w GROUP BY 1)
+ SELECT n.resolved_id, status, order_priority, number FROM n LEFT JOIN s ON s.resolved_id = n.resolved_id AND s.k = 1 LEFT JOIN p ON p.resolved_id = n.resolved_id AND p.k = 1""")
+def golden_profile(spark, d):
+    wide = extract.wide_profiles(spark, WIDE, _read(spark, d), [r.attribute for r in GOLDEN])
+    return survivorship.golden(wide, _members(spark, d, A), GOLDEN)
+
+
+@_query("""SELECT min(k) OVER (PARTITION BY c) AS resolved_id, k AS entity_key FROM (SELECT 'customer:' || c_custkey AS k, c_custkey AS c FROM customer UNION ALL SELECT 'orders:' || o_orderkey, o_custkey FROM orders UNION ALL SELECT 'events:' || event_id, user_id FROM events)""")
+def engine_full_run(spark, d):
+    """A whole run of the engine, published to a new store in the shared folder and read back."""
+    import uuid
+
+    from kinweave.plans.engine import Engine
+
+    components.ensure_checkpoint_dir(spark)
+    place = store.Store(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    result = Engine(spark, A, _read(spark, d), place).run(now=CUT)
+    if result.status != "SUCCESS":
+        raise RuntimeError(result.error or result.status)
+    return place.read("membership").select("resolved_id", "entity_key")
+
+
+@_query()
+def synthetic_customers(spark, d):
+    """A thousand generated persons with their truth; hashes of its own, so without SQL."""
+    from kinweave.sources.datagen import customers
+
+    return customers(spark, 1000, typo_rate=0.08, nickname_rate=0.25)
+
+
+@_query()
+def sound_codes(spark, d):
+    return _t(spark, d, "supplier").select("s_suppkey", T.metaphone(F.col("s_name")).alias("metaphone"), F.soundex("s_name").alias("soundex"))
