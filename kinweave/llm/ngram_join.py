@@ -208,3 +208,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     """The rows of ``docs`` whose doc_id is the smallest of its group, and those without doc_id; all their columns."""
     gone = near_duplicates(docs, id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= {THRESHOLD} * (x.n + y.n - k) - 1e-9),
+cc(k, lab) USING KEY (k) AS (SELECT doc_id, doc_id FROM d UNION (SELECT p.a, min(cc.lab) FROM cc JOIN p ON p.b = cc.k JOIN recurring.cc AS u ON u.k = p.a WHERE cc.lab < u.lab GROUP BY p.a)),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS copy_of, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS n_copies FROM d)
+SELECT c.doc_id, cc.lab AS class_id, coalesce(l.n, 0) AS n_links, copy_of, n_copies
+FROM c JOIN cc ON cc.k = c.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = c.doc_id
+"""

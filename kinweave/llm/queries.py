@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, quality_classifier, substring_dedup, url_filter, warc
+from kinweave.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality_classifier, substring_dedup, url_filter, warc
 from kinweave.llm.common import table
-from kinweave.llm.ngram_join import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +20,10 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_ngram_join"] = ngram_join.ORACLE
 
 
 @_query
@@ -29,6 +31,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_substring_dedup"] = substring_dedup.ORACLE
+
+
 @_query
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
@@ -78,3 +83,6 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op10_warc"] = warc.ORACLE

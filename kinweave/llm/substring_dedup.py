@@ -233,3 +233,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = base.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_serve(window), "unit int, passages array<binary>")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
     return base.groupBy("unit").cogroup(shards.groupBy("unit")).applyInArrow(_remove(window, with_text), out)
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 1))) t(i)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS k FROM win JOIN twice USING (h)),
+words AS (SELECT r, j AS k, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) t(j)),
+kept AS (SELECT words.r, string_agg(x, ' ' ORDER BY words.k) AS t, count(*) AS n FROM words ANTI JOIN gone ON words.r = gone.r AND words.k = gone.k GROUP BY words.r),
+spans AS (SELECT gone.r, count(*) AS n FROM gone ANTI JOIN gone g ON g.r = gone.r AND g.k = gone.k - 1 GROUP BY gone.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256, coalesce(spans.n, 0) AS n_spans
+FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN spans ON spans.r = d.r
+"""

@@ -231,3 +231,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+x AS (SELECT page_id, strlen(t) AS n, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top, count(*) OVER (PARTITION BY t) AS copies FROM p),
+y AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, i, 1))::INT - 1) + 1, 4)), '') AS bits FROM x),
+z AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, (5 * i + j)::INT, 1)::INT * (32 >> j::INT)))::INT, 1)), '') AS digest FROM y)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN copies = 1 OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN copies = 1 OR page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to FROM z
+"""
