@@ -155,7 +155,7 @@ NOTICES = (
     ("no-warranty", "warrant", r"without (?:any )?warrant(?:y|ies)(?: or conditions)? of any kind", 2),
     ("no-warranty", "as is", r"provided as is|provided by the copyright holders and contributors as is", 2),
     ("no-warranty", "merchantab", r"implied warrant(?:y|ies) of merchantability", 3),
-    ("no-liability", "liab", r"in no event shall .{0,120}? be liable", 3),
+    ("no-liability", "liab", r"in no event shall (?:[^ ]+ ){0,20}?be liable", 3),
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0),
     ("isc", "permission to use copy modify", r"permission to use copy modify and(?: or)? distribute this software", 0),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 0),

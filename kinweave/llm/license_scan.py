@@ -122,3 +122,30 @@ def detections(texts: DataFrame, signatures) -> DataFrame:
     for p in levels:
         mine = F.when(F.col("priority") == p, F.col(f"reach{p}")).otherwise(mine)
     return judged.where(F.coalesce(mine, F.lit(-1)) < F.col("end")).select("doc_id", "hash", "label", (F.col("end") - F.col("start")).alias("words"))
+
+
+def oracle(base: tuple = BASE, signatures: list | None = None) -> str:
+    """DuckDB SQL for the same rows. Its expressions cannot look around, so each word there has two spaces of its own."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    double = lambda e: e.replace(" ?", "\x00").replace(" ", "  ").replace("\x00", "(?:  )?")
+    table = ", ".join(f"({n}, {quote(label)}, {quote(key)}, {quote(f' (?:{double(e)}) ')}, {p})" for n, label, key, e, p in (rules() if signatures is None else signatures))
+    places = " UNION ALL ".join(
+        f"SELECT r, {quote(label)} AS label, {len(phrase.split())} AS n, unnest(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {quote(x)}' for k, x in enumerate(phrase.split()))})) - 1 AS spot FROM d"
+        for phrase, label in base
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS single, ' ' || array_to_string(w, '  ') || ' ' AS pair FROM d),
+rule(n, label, keyword, expression, priority) AS (VALUES {table}),
+m AS (SELECT r, n, label, priority, regexp_extract_all(pair, expression) AS hits, string_split_regex(pair, expression) AS gaps FROM t JOIN rule ON contains(single, keyword)),
+k AS (SELECT r, n, label, priority, unnest(range(1, len(hits) + 1)) AS k, list_transform(gaps, lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS g, list_transform(hits, lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS h FROM m),
+s AS (SELECT r, n, label, priority, k, list_sum(g[1:k]) + coalesce(list_sum(h[1:k - 1]), 0) AS a, list_sum(g[1:k]) + list_sum(h[1:k]) AS b FROM k),
+kept AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.a <= s.a AND o.b >= s.b AND o.priority <= s.priority AND (o.a < s.a OR o.b > s.b OR o.priority < s.priority OR o.n < s.n))),
+own AS (SELECT r, list(DISTINCT label) AS labels, sum(b - a) AS words, count(*) AS n FROM kept GROUP BY r),
+place AS ({places}),
+bas AS (SELECT r, count(*) AS n, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels, sum(n) AS words FROM place GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(bas.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(bas.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bas.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+  least(1.0, greatest(coalesce(bas.words, 0), coalesce(own.words, 0))::DOUBLE / greatest(len(w), 1))::DOUBLE AS score, coalesce(own.n, 0) AS n_detections
+FROM d LEFT JOIN own ON own.r = d.r LEFT JOIN bas ON bas.r = d.r
+"""
