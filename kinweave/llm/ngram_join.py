@@ -153,13 +153,11 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def near_duplicates(
+def _links(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD,
     miss: float = MISS, max_hashes: int = MAX_HASHES, block: int = BLOCK,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of all that links join), n_links (other rows whose
-    similarity is at least ``threshold``, copies included), copy_of (smallest doc_id of the same word sequence)
-    and n_copies (rows of that sequence)."""
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(signatures, word sequences with their smallest doc_id and rows, verified links by document, files a small table is worth)."""
     bands, rows = choose_bands(threshold, miss, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = cut(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, seq1 long, seq2 long, bands array<long>"))
@@ -191,6 +189,14 @@ def near_duplicates(
     found = cut(
         dealt.groupBy("component", "bi", "bj").applyInArrow(_verify(n, threshold), "rep long, linked long, root long").repartition(files)
     )
+    return sigs, classes, found, files
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of all that links join), n_links (other rows whose
+    similarity is at least ``threshold``, copies included), copy_of (smallest doc_id of the same word sequence)
+    and n_copies (rows of that sequence). Options: n, threshold, miss, max_hashes, block."""
+    sigs, classes, found, files = _links(docs, id_col, text_col, **options)
     groups = connected_components(found, "rep", "root", files=files).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     per_class = (
@@ -204,10 +210,12 @@ def near_duplicates(
     return named.unionAll(unnamed)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, and those without doc_id; all their columns."""
-    gone = near_duplicates(docs, id_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, and those without doc_id; all their columns."""
+    sigs, classes, found, files = _links(docs, id_col, text_col, **options)
+    linked = connected_components(found, "rep", "root", files=files).where("node <> component").select(F.col("node").alias("__gone"))
+    copies = sigs.join(rekeyed(classes.where("size > 1"), "seq1", "seq2"), ["seq1", "seq2"]).where("doc_id <> rep").select(F.col("doc_id").alias("__gone"))
+    return docs.join(linked.unionAll(copies), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
 ORACLE = rf"""
