@@ -71,6 +71,12 @@ def _members(spark, d, config) -> DataFrame:
     return components.resolve(_nodes(spark, d, config), _links(spark, d, config))
 
 
+def _resolved(spark, d, config) -> tuple[DataFrame, DataFrame]:
+    """(membership, edges): the edges are made once."""
+    links = components.cut(_links(spark, d, config))
+    return components.resolve(_nodes(spark, d, config), links), links
+
+
 def _t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -203,24 +209,24 @@ STATS = """st AS (SELECT resolved_id, count(DISTINCT identifier_type) AS edge_di
 
 @_query(_sql("SELECT 1", I_B, cc=True).replace("SELECT 1", "") + ", " + STATS + " SELECT * FROM st")
 def cluster_edge_stats(spark, d):
-    return scoring.edge_stats(_members(spark, d, B), _links(spark, d, B))
+    return scoring.edge_stats(*_resolved(spark, d, B))
 
 
 @_query(_sql("", I_B, cc=True) + ", " + STATS + """ SELECT *, CASE WHEN cluster_size = 1 THEN 'SINGLETON_NO_MATCH_REQUIRED' WHEN edge_diversity >= 3 AND match_density >= 0.8 THEN edge_diversity || ' identifier types, high density'
  WHEN edge_diversity >= 2 AND match_density >= 0.5 THEN edge_diversity || ' identifier types, moderate density' WHEN edge_diversity >= 2 THEN edge_diversity || ' identifier types, low density'
  WHEN match_density >= 0.8 THEN 'Single identifier type, high density' ELSE 'Single identifier type, chain pattern' END AS primary_reason FROM sc""")
 def cluster_confidence(spark, d):
-    return scoring.confidence(_members(spark, d, B), _links(spark, d, B))
+    return scoring.confidence(*_resolved(spark, d, B))
 
 
 @_query(_sql("", I_D, cc=True) + ", " + STATS + " SELECT *, CASE WHEN cluster_size = 1 THEN 'SINGLETON' WHEN edge_diversity > 1 THEN 'MULTIPLE_IDENTIFIERS' ELSE 'SINGLE_IDENTIFIER' END AS primary_reason FROM sc")
 def cluster_confidence_short(spark, d):
-    return scoring.confidence(_members(spark, d, D), _links(spark, d, D), "short")
+    return scoring.confidence(*_resolved(spark, d, D), "short")
 
 
 @_query(_sql("SELECT resolved_id, CASE WHEN n > 1 THEN coalesce(p, 0) / (n * (n - 1) / 2.0) ELSE 1.0 END::DOUBLE AS pair_density FROM (SELECT resolved_id, count(*) AS n FROM mem GROUP BY 1) LEFT JOIN (SELECT resolved_id, count(*) AS p FROM mem JOIN (SELECT DISTINCT least(left_entity_key, right_entity_key) AS entity_key, greatest(left_entity_key, right_entity_key) AS o FROM lnk) USING (entity_key) GROUP BY 1) USING (resolved_id)", I_D, cc=True))
 def pair_density(spark, d):
-    return scoring.pair_density(_members(spark, d, D), _links(spark, d, D))
+    return scoring.pair_density(*_resolved(spark, d, D))
 
 
 DELTA_A = "del AS (SELECT * FROM ids WHERE entity_key LIKE 'events:%' AND CAST(substr(entity_key, 8) AS BIGINT) < 50)"
@@ -491,8 +497,8 @@ def alerts(spark, d):
 
 @_query(_sql("", I_D, cc=True) + ", " + STATS + " SELECT (SELECT count(*) FROM sc) AS total_clusters, (SELECT sum(cluster_size) FROM sc)::BIGINT AS total_entities, (SELECT round(avg(confidence_score), 3) FROM sc) AS avg_confidence, (SELECT count(*) FROM lnk) AS total_edges")
 def dashboard_summary(spark, d):
-    links = _links(spark, d, D)
-    return Q.totals(scoring.confidence(_members(spark, d, D), links), links)
+    members, links = _resolved(spark, d, D)
+    return Q.totals(scoring.confidence(members, links), links)
 
 
 @_query(_sql("SELECT resolved_id, count(*) AS cluster_size FROM mem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", I_A, E_A, cc=True))
