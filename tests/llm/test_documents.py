@@ -122,6 +122,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_hot_items(spark):
+    """Items that half or all of the documents hold, beside rare words of another."""
+    bench = [(1, " ".join(f"q{i}" for i in range(20))), (2, " ".join(f"r{i}" for i in range(20))), (3, " ".join(f"s{i}" for i in range(40)))]
+    rare = [" ".join(f"s{(i + k) % 40}" for k in range(0, 40, 4)) for i in range(40)]
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(30)) + f" {rare[i]} {bench[0][1]} " + (bench[1][1] if i % 2 else "")) for i in range(40)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = Counter((g["doc_id"], g["item_id"]) for g in collected(decontaminate.contaminated(docs, benchmark)))
+    assert got == Counter([(i, 1) for i in range(40)] + [(i, 2) for i in range(1, 40, 2)])
+    assert decontaminate.decontaminated(docs, benchmark).count() == 0
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
