@@ -86,6 +86,7 @@ NAMES = (
     ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: version)?(?: 2(?: 0)?)?"),
     ("polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter) licen[sc]e(?: 1 0 0)?"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?:(?: version)? 1 1)?"),
+    ("ofl-1.1", "sil ", r"sil ofl(?: 1 1)?"),
     ("odbl-1.0", "open database", r"open database licen[sc]e(?:(?: v)? ?1 0)?"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e(?: v?1 0)?"),
     ("pddl-1.0", "public domain dedication", r"(?:open data commons )?public domain dedication and licen[sc]e"),
@@ -180,7 +181,7 @@ NOTICES = (
 #: Every match of every rule holds one of these, or all words of a base phrase; a document without any has no rule to try.
 HEADS = (
     "licen", "gpl", "cc0", "creative", "copyright", "reserved", "domain", "warrant", "provided", "merchantab", "liab", "permission", "redistribution", "neither", "software", "unencumbered", "altered", "executable",
-    "copyleft", "proprietary", "unauthori", "commercial", "terms", "bsd", "wtfpl", "cecill", "mulan", "beerware", "agreement", "openrail", "attribution",
+    "copyleft", "proprietary", "unauthori", "commercial", "terms", "bsd", "wtfpl", "cecill", "mulan", "beerware", "agreement", "openrail", "attribution", "ofl",
 )
 
 

@@ -244,3 +244,9 @@ def test_license_scan(spark):
     got = Counter(tuple(round(g[c], 9) if isinstance(g[c], float) else g[c] for c in columns) for g in collected(license_scan.scan(docs)))
     assert got == want
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["SIL OFL 1.1", "licensed under the SIL OFL", "SPDX-License-Identifier: SIL OFL 1.1"])
+def test_sil_ofl(spark, line):
+    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    assert "ofl-1.1" in license_scan.scan(docs).first()["labels"].split(",")
