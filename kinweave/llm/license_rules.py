@@ -54,7 +54,8 @@ NAMES = (
     ("eupl", "european", r"european union public licen[sc]e"),
     ("artistic-1.0", "artistic", r"(?:perl )?artistic licen[sc]e(?: version)?(?: 1 0)?"),
     ("artistic-2.0", "artistic", r"artistic licen[sc]e(?: version)? 2 0"),
-    ("psf-2.0", "python", r"python software foundation licen[sc]e(?:(?: version)? 2)?|psf licen[sc]e"),
+    ("psf-2.0", "python", r"python software foundation licen[sc]e(?:(?: version)? 2)?"),
+    ("psf-2.0", "psf", r"psf licen[sc]e"),
     ("python-2.0", "python", r"python licen[sc]e(?:(?: version)? 2(?: 0)?)?"),
     ("php-3.01", "php", r"php licen[sc]e(?: version| v)? ?3 0?1"),
     ("php", "php", r"php licen[sc]e"),
@@ -128,7 +129,7 @@ NAMES = (
     ("openrail", "openrail", r"(?:creativeml )?openrail(?: m| s)?(?: licen[sc]e)?"),
     ("bigscience-rail", "bigscience", r"bigscience rail licen[sc]e(?: v?1 0)?"),
     ("ogl-uk-3.0", "open government", r"open government licen[sc]e(?: v?[1-3](?: 0)?)?"),
-    ("etalab-2.0", "etalab", r"(?:etalab )?licence ouverte(?: 2 0)?(?: etalab)?"),
+    ("etalab-2.0", "ouverte", r"(?:etalab )?licence ouverte(?: 2 0)?(?: etalab)?"),
     ("opl-1.0", "open publication", r"open publication licen[sc]e(?: v?1 0)?"),
     ("osgeo", "osgeo", r"osgeo licen[sc]e"),
     ("hpnd", "historical permission", r"historical permission notice and disclaimer"),

@@ -250,3 +250,33 @@ def test_license_scan(spark):
 def test_sil_ofl(spark, line):
     docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
     assert "ofl-1.1" in license_scan.scan(docs).first()["labels"].split(",")
+
+
+def shortest(parsed):
+    """A text for every choice of alternatives, without what may be left out."""
+    found = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "BRANCH":
+            more = [x for part in value[1] for x in shortest(part)]
+        elif name == "SUBPATTERN":
+            more = shortest(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [x * value[0] for x in shortest(value[2])]
+        elif name == "IN":
+            more = ["x" if str(k) == "NEGATE" else chr(v[0] if str(k) == "RANGE" else v) for k, v in value if str(value[0][0]) != "NEGATE" or str(k) == "NEGATE"]
+        else:
+            assert name in ("LITERAL", "ANY", "NOT_LITERAL"), name
+            more = [chr(value) if name == "LITERAL" else "x"]
+        found = [a + b for a in found for b in more]
+    return found
+
+
+def test_license_keywords():
+    rows = [r[:3] for r in (*license_rules.NAMES, *license_rules.NOTICES)]
+    for label, keyword, expression in rows:
+        for x in shortest(re._parser.parse(expression)):
+            assert re.fullmatch(expression, x) and keyword in f" {x} ", (label, keyword, x)
+            assert any(h in x for h in license_rules.HEADS) or any(set(p.split()) <= set(x.split()) for p, _ in license_scan.BASE), (label, x)
+    for line, label in (("PSF License", "psf-2.0"), ("Licence Ouverte 2.0", "etalab-2.0")):
+        assert label in license_reference.scan(line, license_rules.rules())["labels"]
