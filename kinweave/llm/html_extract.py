@@ -2,10 +2,11 @@
 
 The markup is stripped into lines, one a block element; subtrees that are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments, by tag, role, class or id, leave an empty line. The lengths of
-``window`` neighbouring lines are summed; text surges where that sum rises above a threshold and dives where it
+``window`` neighbouring lines, centred on each line, are summed; text surges where that sum rises above a threshold and dives where it
 falls back, and the lines between a surge and its dive are kept. Where the page has an ``article`` or ``main``, lines
 outside it have length nought and the threshold is nought; elsewhere characters inside links do not count and
-the threshold is ``share`` of the largest sum, ``floor`` characters at least, three tenths of that sum at most.
+the threshold is ``floor`` characters, or three tenths of the largest sum on pages with less text: it does not grow
+with the longest line.
 
 Edge cases: null or empty html: empty text. Unclosed tags, comments and character references: read as browsers do, to
 the end of the enclosing element. Repeated rows: each extracted. Null ids and urls pass through. Empty table: no rows.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import batch
 
 WINDOW = 3
-SHARE = 0.1
 FLOOR = 40
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -171,7 +171,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, seen
 
 
-def extract(html: str | None, window: int = WINDOW, share: float = SHARE, floor: int = FLOOR) -> tuple[str, int, int]:
+def extract(html: str | None, window: int = WINDOW, floor: int = FLOOR) -> tuple[str, int, int]:
     """(text, lines, kept lines)."""
     if not html:
         return "", 0, 0
@@ -182,10 +182,10 @@ def extract(html: str | None, window: int = WINDOW, share: float = SHARE, floor:
     else:
         size = [max(len(t) - a, 0) for t, a, _ in lines]
         limit = -1.0
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
+    back = window // 2
+    sums = [sum(size[max(i - back, 0) : i - back + window]) for i in range(len(size))]
     if limit < 0:
-        top = max(sums, default=0)
-        limit = min(max(share * top, floor), 0.3 * top)
+        limit = min(floor, 0.3 * max(sums, default=0))
     kept, within = [], False
     for i, (text, links, own) in enumerate(lines):
         if not within and sums[i] > limit:
@@ -197,20 +197,20 @@ def extract(html: str | None, window: int = WINDOW, share: float = SHARE, floor:
     return "\n\n".join(kept), len(lines), len(kept)
 
 
-def _extract(window: int, share: float, floor: int):
+def _extract(window: int, floor: int):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_lines", pa.int64()), ("n_kept", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = [extract(h.as_py(), window, share, floor) for h in part.column(2)]
+                found = [extract(h.as_py(), window, floor) for h in part.column(2)]
                 yield batch(schema, page_id=part.column(0), url=part.column(1), text=[f[0] for f in found], n_chars=[len(f[0]) for f in found], n_lines=[f[1] for f in found], n_kept=[f[2] for f in found])
 
     return run
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, floor: int = FLOOR) -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_kept for every row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract(window, share, floor), "page_id long, url string, text string, n_chars long, n_lines long, n_kept long")
+    return rows.mapInArrow(_extract(window, floor), "page_id long, url string, text string, n_chars long, n_lines long, n_kept long")

@@ -29,6 +29,12 @@ def test_without_article():
     assert html_extract.extract(page)[0] == "My title\n\n" + " ".join(["word"] * 40) + "\n\nshort.\n\n" + " ".join(["word"] * 30)
 
 
+def test_long_block_among_short_paragraphs():
+    parts = ["word " * 40, "long " * 4000, *["some text " * 20] * 6, "The end."]
+    page = "<div><a>Home</a></div><div>" + "".join(f"<p>{x}</p>" for x in parts) + "</div><div><a>More</a></div><div><a>x</a></div><div>(c) 2020</div>"
+    assert html_extract.extract(page)[0] == "\n\n".join(x.strip() for x in parts)
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a", "a"), ("<!-- x", ""), ("<div ", ""), ("a < b <p>c > d", "a < b\n\nc > d"), ("<article><p>x &am", "x &am"), ("<script>never closed <p>x", "")])
 def test_odd_html(html, text):
     assert html_extract.extract(html)[0] == text
