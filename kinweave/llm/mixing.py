@@ -6,13 +6,14 @@ size per weight, the first k stop at their cap and the rest share the remainder
 floor(target / size of source) times whole, and once more while the seeded order of its source's documents has not
 filled the fraction that is left: the last repetition is a fraction of the source, made of whole documents.
 
-Plan: one scan makes (doc_id, source, size); sources are sums of partial aggregates. The seeded order is never sorted
-as a whole: documents fall into ``slots`` slots of it, whose sums are again partial aggregates; only the one slot of
-each source in which the fraction ends is ordered row by row. The tables of sources and of their slots (sources times
-``slots`` at most) are joined back by plain equi-joins, which adaptive execution splits for a hot source.
+Plan: texts are read once, for (doc_id, source, size, place), which is cut; the rest works on that table. Sources are
+sums of partial aggregates. The seeded order is never sorted as a whole: documents fall into slots of it, ``slots`` or one for
+every ``SLOT_ROWS`` documents, whose sums are again partial aggregates; only the one slot of each source in which the
+fraction ends is ordered row by row. The tables of sources and of their slots (sources times slots at most) are joined back
+by plain equi-joins, which adaptive execution splits for a hot source. The number of slots does not change the result.
 
-Edge cases: null text: size 0. Null source: a source of its own, last. A source without words: target 0, nothing taken.
-Repeated rows: each is a document; equal ones are taken in a fixed but unspecified order of equal places. Null
+Edge cases: null text: size 0. Null source: a source of its own, last. A source without words: target 0, nothing taken. Empty texts: no copy
+but the whole ones of their source. Repeated rows: each is a document; equal ones are taken in a fixed but unspecified order of equal places. Null
 doc_id: ordered as the empty id. Empty table: no rows. Sizes count words ``[^\\x20\\x09-\\x0D]+``.
 """
 
@@ -21,10 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.components import cut
+
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 SLOTS = 4096
+#: Documents of one slot, on average, at most.
+SLOT_ROWS = 1 << 16
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,11 +59,13 @@ def mix(
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies; ``keep`` names columns of ``docs`` to carry along."""
     place = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    rows = docs.select(
+    rows = cut(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         place.alias("place"), *[F.col(c).alias(f"kept_{c}") for c in keep],
-    ).withColumn("slot", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * slots / (1 << 32)).cast("int"))
+    ))
+    slots = max(slots, -(-rows.count() // SLOT_ROWS))
+    rows = rows.withColumn("slot", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * slots / (1 << 32)).cast("int"))
     sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = water_fill(sources, weights, max_epochs).withColumn("whole", F.floor(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))))
@@ -68,7 +75,7 @@ def mix(
     plan = slots_.join(targets, slots_["source"].eqNullSafe(targets["source"])).select(
         slots_["source"].alias("s"), F.col("slot").alias("k"), "source_size", "target", "whole", "rest", "before",
         # 1: all documents of the slot are taken once more; 0: none is; null: the fraction ends in it
-        F.when(F.col("before") + F.col("words") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).alias("more"),
+        F.when(F.col("rest") <= 0, 0).when(F.col("before") + F.col("words") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).alias("more"),
     )
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (rows["slot"] == plan["k"])).drop("s", "k")
     clear = joined.where("more is not null")

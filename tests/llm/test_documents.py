@@ -242,6 +242,22 @@ def test_mixing(spark):
     assert mixing.mix(documents(spark, True)).count() == 0
 
 
+def test_mixing_against_its_sql(spark, tmp_path):
+    """Empty texts in a source at its cap, a source without words, many slots and one."""
+    import duckdb
+
+    rows = [(i, "word " * (i % 7) if i % 5 else "", "capped" if i < 20 else "zbig", "k") for i in range(400)] + [(500, "  ", "empty", "k"), (501, None, None, None), (502, "a b", None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string")
+    docs.write.parquet(str(tmp_path / "d"))
+    found = duckdb.sql(mixing.oracle(f"'{tmp_path}/d/*.parquet'")).fetchall()
+    columns = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    want = Counter((*r[:3], round(r[3], 6), *r[4:]) for r in found)
+    for weights, slots in (((1, 2, 3), 4096), ((1, 2, 3), 1), ((1, 2, 3), 100_000)):
+        got = collected(mixing.mix(docs, weights=weights, slots=slots))
+        assert Counter(tuple(round(g[c], 6) if c == "target" else g[c] for c in columns) for g in got) == want
+    assert any(r[1] == 0 and r[5] == 3 for r in found) and max(r[5] for r in found) == 3
+
+
 def test_license_scan(spark):
     signatures = license_rules.rules()
     assert len(signatures) > 300
