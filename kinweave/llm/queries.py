@@ -46,7 +46,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")  # the SQL cuts no chunks
 
 
 ORACLES["op5_exact_dedup"] = exact_dedup.ORACLE

@@ -84,8 +84,10 @@ def test_exact_dedup(spark, digest_bytes):
     assert sum(g["kept"] for g in got) == len(groups)
     assert exact_dedup.exact_duplicates(documents(spark, True)).count() == 0
     if digest_bytes == 16:
-        left = collected(exact_dedup.deduplicated(documents(spark)))
-        assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in left) == sorted(groups)
+        assert all(g["n_chunks"] >= 1 for g in got if g["text_sha256"] != hashlib.sha256(b"").hexdigest())
+        for limit in (exact_dedup.BROADCAST_IDS, 0):
+            left = collected(exact_dedup.deduplicated(documents(spark), broadcast_ids=limit))
+            assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in left) == sorted(groups)
 
 
 def test_chunks_follow_content():
