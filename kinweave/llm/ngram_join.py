@@ -3,12 +3,17 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. A text of fewer than ``n`` words has one shingle, all its
 words (an empty or null text: the empty shingle), so that short texts are near each other only if equal.
 
-Plan: texts are read once for signatures; rows with equal word sequences are *copies* (smallest doc_id
-stands for them); representatives are shuffled on their band hashes; buckets are linked as stars and
-contracted to candidate components; the texts of candidates alone are moved once more and verified in
-blocks, on full n-gram sets. A large component is dealt out over pairs of blocks, each its own task group;
-a block pair returns one row per document with its number of links and one link to its class, never the
-list of pairs.
+Plan: texts are read once for signatures; rows with equal word sequences are *copies* (smallest doc_id stands for them);
+representatives are shuffled on their band hashes. The smallest representative of a bucket is its *anchor*: each member
+is compared with what shares an anchor with it, and nothing is chained before that. Since a pair that shares a bucket shares its anchor, no pair is
+lost; a pair with several common anchors is verified at the smallest. The texts of such candidates alone move, once for each of their
+anchors (``bands`` at most), and are verified on full n-gram sets. The members of a hot anchor are dealt out over pairs of
+blocks, each its own task group: a text then moves once for each block of that one anchor. A task group
+returns one row per document with its number of links and one link to its class, never the list of pairs. Candidates'
+ids are broadcast to the texts only if they are few (``BROADCAST_IDS``, counted first).
+
+Recall: a pair of similarity s shares a band with chance 1 - (1 - s^rows)^bands; (38, 6) misses one in 100,000 pairs at 0.8 and
+compares 3 % of the pairs at 0.3, 45 % at 0.5.
 
 Edge cases: null doc_id: the row comes back with null class and no links. Repeated rows: each
 comes back; they are copies of each other (doc_id must otherwise be unique). Empty table: no rows. Other columns are ignored.
@@ -31,9 +36,11 @@ NGRAM = 5
 THRESHOLD = 0.8
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-MAX_HASHES = 128
+MAX_HASHES = 256
 #: Documents of one block in verification; a task group holds two blocks.
 BLOCK = 128
+#: Candidates' ids that may be broadcast to their texts: 16 MB or so.
+BROADCAST_IDS = 500_000
 
 _SEQ = np.uint64(0xC2B2AE3D27D4EB4F)
 _SEQ2 = np.uint64(0x165667B19E3779F9)
@@ -91,7 +98,7 @@ def _signatures(n: int, bands: int, rows: int):
 
 
 def _verify(n: int, threshold: float):
-    """Verify the texts of one pair of blocks; per document its linked weight, and a link to its group."""
+    """Verify the texts of one pair of blocks of an anchor; per document its linked weight, and a link to its group."""
     schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64()), ("root", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
@@ -101,6 +108,14 @@ def _verify(n: int, threshold: float):
         t, rep = t.take(pa.array(order)), rep[order]
         size, block = t.column("size").to_numpy(), t.column("block").to_numpy()
         same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
+        anchor = t.column("anchor")[0].as_py()
+        lists = t.column("anchors").combine_chunks()
+        less = np.asarray(lists.flatten())
+        whose = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        before = less < anchor
+        names, less = np.unique(less[before], return_inverse=True)
+        common = np.zeros((len(rep), len(names)), dtype=np.float32)  # smaller anchors: their pairs are verified there
+        common[whose[before], less] = 1
         raw, offs = text_buffers(t.column("text"))
         sets = []
         for i, j in pieces(offs):
@@ -132,6 +147,8 @@ def _verify(n: int, threshold: float):
         union = count[:, None] + count[None, :] - inter
         link = inter >= threshold * union - 1e-9
         np.fill_diagonal(link, False)
+        if len(names):
+            link &= common @ common.T == 0
         if not same:
             link &= block[:, None] != block[None, :]
         root = np.arange(m)
@@ -169,25 +186,20 @@ def _links(
     reps = cut(reps, files)
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keys.join(rekeyed(buckets, "band", "key"), ["band", "key"]).select("rep", "anchor")
-    comps = connected_components(stars, "rep", "anchor", files=files)
-    sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("component", "c")
-    placed = (
-        comps.join(rekeyed(sizes, "c"), F.col("component") == F.col("c")).drop("c")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-        .join(reps.select(F.col("rep").alias("node"), "size"), "node")
-    )
-    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    stars = cut(keys.join(rekeyed(buckets, "band", "key"), ["band", "key"]).select("rep", "anchor").distinct(), files)
+    anchors = stars.groupBy("rep").agg(F.collect_list("anchor").alias("anchors"))  # as many as there are bands at most
+    blocks = stars.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    members = cut(anchors.join(reps.select("rep", "size"), "rep"), files)
+    ids = members.select("rep")
+    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "rep").join(F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
+    placed = stars.join(rekeyed(blocks, "anchor"), "anchor").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = (
-        placed.join(texts, "node")
-        .select(
-            F.col("node").alias("rep"), "component", "size", "block", "text",
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-        )
-        .select("rep", "component", "size", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        placed.join(members, "rep").join(texts, "rep")
+        .select("rep", "anchor", "anchors", "size", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("rep", "anchor", "anchors", "size", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     )
     found = cut(
-        dealt.groupBy("component", "bi", "bj").applyInArrow(_verify(n, threshold), "rep long, linked long, root long").repartition(files)
+        dealt.groupBy("anchor", "bi", "bj").applyInArrow(_verify(n, threshold), "rep long, linked long, root long").repartition(files)
     )
     return sigs, classes, found, files
 
