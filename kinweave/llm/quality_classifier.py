@@ -1,9 +1,10 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words. Every passage is encoded by shape features (shares of character
-classes, repetition, word lengths, distinct words) and a tanh layer; gated attention, tanh(V h) * sigmoid(U h),
-weighs the passages; a logistic unit scores the weighted representation. Only document labels are used. The
-model is trained in numpy on the driver on at most ``max_train`` labelled documents, those with the smallest
+A document is a bag of passages of 64 words. A passage is encoded by what it holds: its words and its byte trigrams are hashed
+to ``WORD_BUCKETS`` and ``GRAM_BUCKETS``, whose learned vectors are averaged, beside a few shape features (shares of character
+classes, repetition, word lengths, distinct words), into a tanh layer. Gated attention, tanh(V h) * sigmoid(U h), weighs the
+passages; a logistic unit scores the weighted representation. All weights, the buckets' vectors too, are learned from document
+labels alone. The model is trained in numpy on the driver on the texts of at most ``max_train`` labelled documents, those with the smallest
 hashes of doc_id; every passage of every document is scored, in Arrow batches.
 
 Edge cases: null and empty texts are one empty passage. Without labelled rows of both classes each score is the
@@ -13,6 +14,7 @@ document the largest counts. Null doc_id: scored, held_out null. Repeated rows:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,16 @@ from kinweave.llm.common import Words, batch, pieces, text_buffers
 
 PASSAGE_WORDS = 64
 #: Bound of the sample of labelled documents that the model is fitted on.
-MAX_TRAIN = 8000
+MAX_TRAIN = 4000
 THRESHOLD = 0.7
 HIDDEN = 16
 ATTENTION = 8
-EPOCHS = 60
+EPOCHS = 30
+WORD_BUCKETS = 256
+GRAM_BUCKETS = 256
+#: What a bucket's standardised share counts beside a shape feature's.
+SPREAD = 0.1
+DECAY = 1e-4
 
 _UPPER, _LOWER, _DIGIT, _HIGH = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = _HIGH[128:] = True
@@ -37,11 +44,38 @@ _SIGNS = np.zeros(256, bool)
 _SIGNS[33:48] = _SIGNS[58:65] = _SIGNS[91:97] = _SIGNS[123:127] = True
 _SIGNS &= ~_STOPS
 _CLASSES = (_UPPER, _LOWER, _DIGIT, _HIGH, _STOPS, _SIGNS)
-WIDTH = len(_CLASSES) + 8
+SHAPE = len(_CLASSES) + 8
+WIDTH = SHAPE + WORD_BUCKETS + GRAM_BUCKETS
 
 
 def encode(words: Words, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(features of passages, text of each passage); a text without words is one passage of zeros."""
+    x, text, full, begin, end = shape(words, size)
+    if len(full):
+        x[full, SHAPE : SHAPE + WORD_BUCKETS], x[full, SHAPE + WORD_BUCKETS :] = buckets(words, begin, end)
+    return x, text
+
+
+def buckets(words: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the hashed words and byte trigrams of passages, words begin:end of each, as square roots."""
+    n = len(begin)
+    place = np.repeat(np.arange(n), end - begin)
+    where = np.arange(len(place)) + np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin)
+    word = (words.hashes()[where] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+    counts = np.bincount(place * WORD_BUCKETS + word, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS).astype(np.float32)
+    data = words.bytes.astype(np.uint32)
+    key = np.zeros(len(data), dtype=np.uint32)
+    key[:-2] = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+    key = ((key * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64) % GRAM_BUCKETS
+    low, high = words.start[begin], words.end[end - 1]
+    spot = np.repeat(np.arange(n), high - low)
+    at = np.arange(len(spot)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+    grams = np.bincount(spot * GRAM_BUCKETS + key[at], minlength=n * GRAM_BUCKETS).reshape(n, GRAM_BUCKETS).astype(np.float32)
+    return np.sqrt(counts / (end - begin)[:, None]), np.sqrt(grams / (high - low)[:, None])
+
+
+def shape(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of passages, the first of them filled, text of each passage, passages with words and these words' range)."""
     first = words.first
     n = np.diff(first)
     per = np.maximum(-(-n // size), 1)
@@ -53,9 +87,9 @@ def encode(words: Words, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndar
     x = np.zeros((len(text), WIDTH), dtype=np.float32)
     full = np.flatnonzero(count > 0)
     if not len(full):
-        return x, text
+        return x, text, full, begin[full], end[full]
     begin, end, count = begin[full], end[full], count[full].astype(np.float32)
-    f = np.zeros((len(full), WIDTH), dtype=np.float32)
+    f = np.zeros((len(full), SHAPE), dtype=np.float32)
     low, high = words.start[begin], words.end[end - 1]
     span = (high - low).astype(np.float32)
     for k, kind in enumerate(_CLASSES):
@@ -85,8 +119,8 @@ def encode(words: Words, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndar
     f[:, k + 5] = total(_STOPS[tail]) / count
     f[:, k + 6] = total(_SIGNS[tail]) / count
     f[:, k + 7] = np.log1p(count) / np.log1p(size)
-    x[full] = f
-    return x, text
+    x[full, :SHAPE] = f
+    return x, text, full, begin, end
 
 
 class Model:
@@ -98,6 +132,7 @@ class Model:
     def forward(self, x: np.ndarray, at: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
         z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z[:, SHAPE:] *= SPREAD
         h = np.tanh(z @ w["W"] + w["b"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = (t * g) @ w["a"]
@@ -111,7 +146,7 @@ class Model:
         at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         if not self.w:
             return np.full(len(at), self.prior)
-        return self.forward(x, at, text - text[0])["s"]
+        return self.forward(x, at, text - text[0])["s"].astype(np.float64)
 
 
 def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> Model:
@@ -120,9 +155,9 @@ def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, seed: int = 11, epoch
     if len(label) == 0 or label.min() == label.max():
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, prior)
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    w = {"W": normal(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, ATTENTION), "U": normal(HIDDEN, ATTENTION), "a": normal(ATTENTION), "o": normal(HIDDEN), "c": np.zeros(1)}
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3  # float32, as the passages are
+    normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
+    w = {"W": normal(WIDTH, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": normal(HIDDEN, ATTENTION), "U": normal(HIDDEN, ATTENTION), "a": normal(ATTENTION), "o": normal(HIDDEN), "c": np.zeros(1, np.float32)}
     model = Model(mean, scale, w, prior)
     m1, m2, step = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)), None, 0
     m1, m2 = m1
@@ -150,42 +185,34 @@ def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, seed: int = 11, epoch
             grads = {"W": f["z"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": tg.T @ de, "o": f["m"].T @ ds, "c": np.array([ds.sum()])}
             step += 1
             for name, g in grads.items():
-                g = g + 1e-4 * w[name]
+                g = g + DECAY * w[name]
                 m1[name] = 0.9 * m1[name] + 0.1 * g
                 m2[name] = 0.999 * m2[name] + 0.001 * g * g
                 w[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("passages", pa.binary())])
-    for b in batches:
-        raw, offs = text_buffers(b.column(2))
-        for i, j in pieces(offs):
-            x, text = encode(Words(raw, offs[i : j + 1]))
-            ends = np.searchsorted(text, np.arange(j - i + 1))
-            yield batch(schema, key=b.column(0).slice(i, j - i), label=b.column(1).slice(i, j - i), passages=[x[p:q].tobytes() for p, q in zip(ends, ends[1:])])
-
-
 def held_out(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on the ``max_train`` labelled documents outside the held-out fold with the smallest hashes."""
+    """Fit on the texts of the ``max_train`` labelled documents outside the held-out fold with the smallest hashes."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
         .where(~held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("k", F.lit(5)), "k").limit(max_train)
     )
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    found = rows.join(F.broadcast(known), "k").select("k", "y", "t").mapInArrow(_features, "key long, label int, passages binary").toArrow()
-    order = np.argsort(found.column("key").to_numpy(), kind="stable")
-    blobs = found.column("passages").to_pylist()
-    bags = [np.frombuffer(blobs[i], np.float32).reshape(-1, WIDTH) for i in order]
-    label = found.column("label").to_numpy()[order].astype(np.float64)
-    x = np.concatenate([np.zeros((0, WIDTH), np.float32), *bags]).astype(np.float64)
-    return fit(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), label)
+    found = rows.join(F.broadcast(known), "k").select("k", "y", "t").toArrow()
+    order = np.lexsort((np.array([zlib.crc32((t or "").encode()) for t in found.column("t").to_pylist()], dtype=np.int64), found.column("k").to_numpy()))
+    found = found.take(pa.array(order))
+    raw, offs = text_buffers(found.column("t"))
+    parts = [encode(Words(raw, offs[i : j + 1])) for i, j in pieces(offs)]
+    starts = [i for i, _ in pieces(offs)]
+    x = np.concatenate([np.zeros((0, WIDTH), np.float32), *(p[0] for p in parts)])
+    bag = np.concatenate([np.zeros(0, np.int64), *(p[1] + i for p, i in zip(parts, starts))])
+    return fit(x, bag, found.column("y").to_numpy().astype(np.float64))
 
 
 def _score(model: Model):
