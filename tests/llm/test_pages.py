@@ -66,6 +66,23 @@ def test_url_filter(spark):
     assert url_filter.judge(pages(spark, True)).count() == 0
 
 
+@pytest.mark.parametrize("max_bytes", [8 << 20, 64])  # a cascade, and what is done where a level would be too large
+def test_thousands_of_listed_hosts(spark, max_bytes):
+    import random
+
+    rng = random.Random(6)
+    name = lambda: f"h{rng.randrange(9000)}.{rng.choice(['example', 'site'])}.{rng.choice(['com', 'io', 'org'])}"
+    rows = [(i, f"https://{name()}/{rng.choice(['en', 'x', ''])}/{i}", "h", "k", 1.0, "b") for i in range(6000)] + [(None, None, None, None, None, None), (7, "no scheme", "", "", 0.0, "")]
+    listed = {name() for _ in range(4000)}
+    docs = spark.createDataFrame(rows, "page_id long, url string, host string, key string, best double, listed string")
+    table = spark.createDataFrame([(h, 1) for h in listed] + [(None, 2), (min(listed), 3)], "host string, listed int")
+    rules = url_filter.RULES if max_bytes > 64 else url_filter.RULES[:1]
+    got = collected(url_filter.judge(docs, rules=rules, listed_hosts=table, max_bytes=max_bytes))
+    want = Counter((r[0], h := judged(r[1])[0], h in listed) for r in rows)
+    assert Counter((g["page_id"], g["host"], g["listed"]) for g in got) == want and sum(g["listed"] for g in got) > 300
+    assert all(g["verdict"] == "block" for g in got if g["listed"] and g["rule"] is None) and all(g["verdict"] == "allow" for g in got if not g["listed"] and g["rule"] is None)
+
+
 def test_cascade_is_exact(spark):
     from pyspark.sql import functions as F
 
