@@ -177,12 +177,111 @@ NOTICES = (
     ("terms-of-use", "terms", r"terms (?:of (?:use|service)|and conditions)", 4),
     ("licensed", "licens", r"(?:licensed|sublicensed) under", 5),
     ("licence", "licen", r"licen[sc]e agreement|end user licen[sc]e(?: agreement)?", 4),
+    # licence texts, by a sentence that stands in them
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1),
+    ("mit", "deal in the software", r"to deal in the software without restriction", 1),
+    ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice this list of conditions", 1),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice", 1),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 0),
+    ("bsd-3-clause", "endorse or promote", r"may (?:not )?be used to endorse or promote products derived from this software", 1),
+    ("apache-2.0", "compliance with the licen", r"you may not use this file except in compliance with the licen[sc]e", 1),
+    ("apache-2.0", "unless required by applicable", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e", 0),
+    ("apache-2.0", "apache org", r"www apache org licen[sc]es licen[sc]e 2 0(?: txt| html)?", 0),
+    ("apache", "apache software foundation", r"licensed to the apache software foundation(?: asf)? under one or more contributor licen[sc]e agreements", 1),
+    ("gpl", "useful but without", r"in the hope that it will be useful but without any warranty", 1),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public licen[sc]e", 0),
+    ("lgpl", "received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 0),
+    ("agpl", "received a copy", r"you should have received a copy of the gnu affero general public licen[sc]e", 0),
+    ("gpl-2.0", "either version 2", r"either version 2 of the licen[sc]e or at your option any later version", 1),
+    ("gpl-3.0", "either version 3", r"either version 3 of the licen[sc]e or at your option any later version", 1),
+    ("lgpl-2.1", "either version 2 1", r"either version 2 1 of the licen[sc]e or at your option any later version", 0),
+    ("gpl", "gnu org", r"www gnu org licen[sc]es(?: gpl| lgpl| agpl| fdl)?(?: [1-3] [0-9])?(?: html| txt)?", 2),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: with)?(?: no)? front cover texts", 0),
+    ("gfdl", "granted to copy distribute", r"permission is granted to copy distribute and or modify this document under the terms", 0),
+    ("mpl-1.1", "subject to the mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 0),
+    ("mpl-2.0", "mozilla org", r"mozilla org mpl 2 0", 0),
+    ("epl-1.0", "eclipse org", r"www eclipse org legal epl v10(?: html)?", 0),
+    ("epl-2.0", "eclipse org", r"www eclipse org legal epl (?:v20|2 0)(?: html)?", 0),
+    ("cddl", "subject to the terms of the common development", r"subject to the terms of the common development and distribution licen[sc]e", 0),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 1),
+    ("zlib", "held liable for any damages", r"in no event will the authors be held liable for any damages", 1),
+    ("isc", "above copyright notice and this permission", r"provided that the above copyright notice and this permission notice appear in all copies", 1),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software", 0),
+    ("unlicense", "unlicense org", r"(?:http )?unlicense org", 1),
+    ("wtfpl", "do what the", r"do what the (?:f[a-z]+|hell) you want to public licen[sc]e", 0),
+    ("boost-1.0", "boost org", r"www boost org licen[sc]e 1 0 txt", 0),
+    ("python-2.0", "beopen", r"beopen python open source licen[sc]e agreement", 0),
+    ("artistic-1.0", "same terms as perl", r"under the same terms as perl(?: itself)?", 1),
+    ("ruby", "same terms as ruby", r"under the same terms as ruby(?: itself)?", 1),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used", 0),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 0),
+    ("jpeg", "independent jpeg", r"this software is based in part on the work of the independent jpeg group", 0),
+    ("freetype", "freetype", r"(?:the )?freetype (?:project )?licen[sc]e", 2),
+    ("cc0-1.0", "waived all", r"has waived all copyright and related or neighboring rights", 0),
+    ("cc0-1.0", "publicdomain zero", r"creativecommons org publicdomain zero 1 0", 0),
+    ("public-domain", "publicdomain mark", r"creativecommons org publicdomain mark 1 0", 1),
+    ("cc-by-4.0", "licenses by 4", r"creativecommons org licenses by 4 0", 0),
+    ("cc-by-3.0", "licenses by 3", r"creativecommons org licenses by 3 0", 0),
+    ("cc-by-sa", "licenses by sa", r"creativecommons org licenses by sa [1-4] [05]", 0),
+    ("cc-by-nc", "licenses by nc", r"creativecommons org licenses by nc [1-4] [05]", 0),
+    ("cc-by-nd", "licenses by nd", r"creativecommons org licenses by nd [1-4] [05]", 0),
+    ("cc-by-nc-sa", "licenses by nc sa", r"creativecommons org licenses by nc sa [1-4] [05]", 0),
+    ("cc-by-nc-nd", "licenses by nc nd", r"creativecommons org licenses by nc nd [1-4] [05]", 0),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?", 0),
+    ("ofl-1.1", "scripts sil", r"scripts sil org ofl", 0),
+    ("elastic-2.0", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", 1),
+    ("sspl-1.0", "sspl", r"sspl(?: v?1)?", 2),
+    ("bsl-1.1", "additional use grant", r"additional use grant", 2),
+    ("bsl-1.1", "change date", r"change date (?:[^ ]+ ){1,6}?change licen[sc]e", 1),
+    ("commons-clause", "commons clause", r"(?:the )?commons clause(?: licen[sc]e)?(?: condition)?", 1),
+    ("fair-source", "fair source", r"fair source licen[sc]e(?: v?0 9)?", 1),
+    ("llama", "llama", r"llama (?:[23](?: [0-9])? )?community licen[sc]e(?: agreement)?", 1),
+    ("gemma", "gemma terms", r"gemma terms of use", 1),
+    ("openrail", "use based restrictions", r"use based restrictions", 3),
+    ("odbl-1.0", "opendatacommons", r"opendatacommons org licen[sc]es (?:odbl|by|pddl)(?: 1 0)?", 0),
+    ("ogl-uk-3.0", "nationalarchives", r"nationalarchives gov uk doc open government licen[sc]e", 0),
+    # what is said about rights without naming a licence
+    ("copyright", "copyright notice", r"(?:the )?(?:above )?copyright notice", 4),
+    ("copyright", "copyrighted", r"copyrighted (?:material|work|software)", 4),
+    ("reserved", "rights not expressly", r"(?:all )?rights not expressly granted(?: herein)?(?: are reserved)?", 2),
+    ("no-warranty", "warranties", r"disclaims? (?:all|any) warranties(?: express or implied)?", 3),
+    ("no-warranty", "fitness", r"warrant(?:y|ies) (?:[^ ]+ ){0,8}?fitness for a particular purpose", 3),
+    ("no-warranty", "own risk", r"use (?:of this software |it |this )?(?:is )?at your own risk", 3),
+    ("no-liability", "consequential", r"liable for any (?:[^ ]+ ){0,8}?consequential damages", 3),
+    ("no-liability", "limitation of liab", r"limitation of liability", 4),
+    ("proprietary", "trade secret", r"(?:contains )?(?:confidential (?:and|or) )?trade secrets?(?: and confidential)? (?:information|of)", 3),
+    ("proprietary", "reverse engineer", r"(?:not|or) (?:decompile |disassemble )?(?:or )?reverse engineer", 3),
+    ("proprietary", "internal use", r"(?:for )?internal use only", 3),
+    ("proprietary", "not be reproduced", r"(?:may|must|shall) not be reproduced(?: (?:or|and) (?:copied|distributed|published|transmitted))?", 3),
+    ("proprietary", "strictly prohibited", r"(?:copying|reproduction|distribution|redistribution|use) (?:[^ ]+ ){0,6}?(?:is|are) strictly prohibited", 3),
+    ("evaluation", "evaluation", r"(?:for )?evaluation (?:use|purposes) only", 3),
+    ("non-commercial", "commercially", r"(?:may|must) not be (?:used|sold|exploited) commercially", 2),
+    ("non-commercial", "not for resale", r"not for resale(?: or redistribution)?", 3),
+    ("no-derivatives", "derivative works", r"(?:no|not create|without) derivative works", 3),
+    ("share-alike", "same licen", r"under the same licen[sc]e(?: terms)?", 4),
+    ("attribution", "attribution", r"with (?:proper|due|appropriate) attribution", 4),
+    ("attribution", "appropriate credit", r"you must give appropriate credit", 2),
+    ("patent", "patent licen", r"(?:royalty free |worldwide |perpetual |irrevocable )*patent licen[sc]e", 3),
+    ("patent", "patent", r"patents? pending", 4),
+    ("trademark", "trademark", r"(?:registered )?trademarks? of", 4),
+    ("fair-use", "fair use", r"(?:under |constitutes |considered )?fair use", 4),
+    ("fair-dealing", "fair dealing", r"fair dealing", 4),
+    ("dmca", "dmca", r"dmca(?: takedown)?(?: notice)?", 3),
+    ("dmca", "digital millennium", r"digital millennium copyright act", 2),
+    ("dual-licence", "dual licen", r"dual licensed|dual licen[sc]e", 3),
+    ("exception", "exception", r"(?:with )?(?:the )?(?:classpath|linking|runtime library|bootloader|font) exception(?: 2 0)?", 2),
+    ("contributor", "contributor licen", r"contributor licen[sc]e agreement", 3),
+    ("contributor", "certificate of origin", r"developer certificate of origin(?: 1 1)?", 3),
+    ("open-source", "open source software", r"(?:free and )?open source software", 5),
+    ("licensed", "licensed ", r"licensed (?:material|content|work)s?", 5),
 )
 
 #: Every match of every rule holds one of these, or all words of a base phrase; a document without any has no rule to try.
 HEADS = (
     "licen", "gpl", "cc0", "creative", "copyright", "reserved", "domain", "warrant", "provided", "merchantab", "liab", "permission", "redistribution", "neither", "software", "unencumbered", "altered", "executable",
     "copyleft", "proprietary", "unauthori", "commercial", "terms", "bsd", "wtfpl", "cecill", "mulan", "beerware", "agreement", "openrail", "attribution", "ofl",
+    "invariant", "mozilla", "eclipse", "consortium", "sspl", "grant", "clause", "restrictions", "risk", "secret", "engineer", "internal", "reproduced", "prohibited", "evaluation", "resale", "derivative", "credit",
+    "patent", "trademark", "fair", "dmca", "exception", "certificate",
 )
 
 

@@ -58,10 +58,12 @@ def worth_a_look(text: Column, base) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, signatures: list | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     signatures = rules() if signatures is None else signatures
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    plain = rows.select("doc_id", "hash", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spaced = F.replace(F.concat(F.lit(" "), F.regexp_replace(_lower(F.col("text")), GAP, " "), F.lit(" ")), F.lit("  "), F.lit(" "))
-    hot = cut(rows.where(worth_a_look(F.col("text"), base)).select("doc_id", "hash", spaced.alias("padded")))
+    read = cut(rows.select(  # texts are read once; those without a head go on as a count of words
+        "doc_id", F.xxhash64("text").alias("hash"), F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(worth_a_look(F.col("text"), base), spaced).alias("padded"),
+    ))
+    plain, hot = read.select("doc_id", "hash", "n_words"), read.where("padded is not null").select("doc_id", "hash", "padded")
     n_words = F.greatest(_spaces(F.col("padded")) - 1, F.lit(0))
     firsts, lasts, counts, names = [], [], [], []
     for phrase, label in base:
