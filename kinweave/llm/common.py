@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,21 @@ _Q = np.uint64(0xD1B54A32D192ED03)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def one_thread() -> None:
+    """Let numpy's matrix products use one thread in this process: a Spark task has one core, and the other tasks the others."""
+    global _single
+    if not _single:
+        _single = True
+        for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+            library = ctypes.CDLL(str(path))
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+
+
+_single = False
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
