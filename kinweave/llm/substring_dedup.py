@@ -8,11 +8,18 @@ passages that other units share with it, and reaches its unit by a shuffle inste
 Plan: a unit sends, for each bucket, one row with its distinct window hashes, so a window that a third of the corpus
 shares costs one entry a unit. A bucket asks, for each hash of two units and more, the next unit in the ring of its
 holders to serve the one before; so no unit serves more than one for any window. A served unit receives the runs
-of windows asked for as text, builds the automaton of these, and streams its documents through it; words decide, hashes only
-route. Windows that repeat inside a unit are counted there. All three passes over the texts use one exchange.
-
-Edge cases: null text: no words. Null doc_id: such rows are handled as any other. Repeated rows: copies, so all
-of their windows repeat. Texts shorter than a window stay whole. Empty table: no rows.
+of windows asked for as text, builds the automaton of these, and streams its documents through it. Windows that repeat inside a
+unit have an automaton of their own, of the unit's runs of windows whose hashes repeat, with counts of occurrences. Both automata read
+the words themselves: hashes only choose what is sent and streamed, words decide. All three passes over the texts use one
+exchange.
+
+Bounds: a unit is ``unit_bytes`` of text on average, whatever the size of the corpus, and at least one document; automata take
+345 bytes or so for each word of the passages sent to a unit and of the runs that repeat inside it. Rows of hashes number units times
+buckets at most, and never more than windows.
+
+Edge cases: null text: no words. Null doc_id: such rows are handled as any other, and spread over the units by a row number. Repeated
+rows: copies, so all of their windows repeat. A repeated doc_id with other texts: spread by text. Texts shorter than a
+window stay whole. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +36,6 @@ from kinweave.llm.suffix_automaton import Automaton, covered
 
 WINDOW = 35
 UNIT_BYTES = 4 << 20
-#: Units grow with the root of the corpus from here on, up to sixteen times, so that rows (a unit and bucket each) stay full.
-STEADY_BYTES = 16 << 30
 
 _A = np.uint64(0x8CB92BA72F3D8DD7)
 _B = np.uint64(0xAEF17502108EF2D9)
@@ -139,6 +144,21 @@ def _repeats(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return twice
 
 
+def _spelt(words: Words, p: int, q: int) -> list[bytes]:
+    """Words p to q as they stand."""
+    base = int(words.start[p])
+    data = words.bytes[base : int(words.end[q - 1])].tobytes()
+    return [data[a:b] for a, b in zip((words.start[p:q] - base).tolist(), (words.end[p:q] - base).tolist())]
+
+
+def _runs(begins: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Ranges of words of the runs of neighbouring windows."""
+    if not len(begins):
+        return []
+    cuts = np.flatnonzero(np.diff(begins) != 1)
+    return list(zip(begins[np.append(0, cuts + 1)].tolist(), (begins[np.append(cuts, len(begins) - 1)] + window).tolist()))
+
+
 def _shard(passages: pa.ChunkedArray, window: int) -> tuple[Automaton, np.ndarray] | None:
     """The automaton of the passages and the sorted hashes of their windows."""
     rows = [p for cell in passages.to_pylist() for p in cell]
@@ -148,13 +168,26 @@ def _shard(passages: pa.ChunkedArray, window: int) -> tuple[Automaton, np.ndarra
     raw, offs = text_buffers(pa.array(rows, pa.binary()))
     for i, j in pieces(offs):
         words = Words(raw, offs[i : j + 1])
-        h = words.hashes().tolist()
         for p, q in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-            automaton.add(h[p:q])
+            automaton.add(_spelt(words, p, q))
         keys.append(_windows(words, window)[1])
     return automaton, np.unique(np.concatenate(keys))
 
 
+def _within(raw: np.ndarray, offs: np.ndarray, parts: list, twice: np.ndarray, window: int) -> Automaton | None:
+    """The automaton of the unit's runs of windows whose hashes repeat in it."""
+    if not twice.any():
+        return None
+    automaton, done = Automaton(), 0
+    for (i, j), (begins, _, _) in zip(pieces(offs), parts):
+        words = Words(raw, offs[i : j + 1])
+        for p, q in _runs(begins[twice[done : done + len(begins)]], window):
+            automaton.add(_spelt(words, p, q))
+        done += len(begins)
+    automaton.count_occurrences(window)
+    return automaton
+
+
 def _remove(window: int, with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64())]
     schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
@@ -165,27 +198,24 @@ def _remove(window: int, with_text: bool):
         parts = [_windows(Words(raw, offs[i : j + 1]), window) for i, j in pieces(offs)]
         none = [np.zeros(0, np.uint64)]
         twice = _repeats(np.concatenate(none + [p[1] for p in parts]), np.concatenate(none + [p[2] for p in parts]))
+        within = _within(raw, offs, parts, twice, window)
         done = 0
         total, removed, shas, spans, texts = [], [], [], [], []
         for (i, j), (begins, key, _) in zip(pieces(offs), parts):
             words = Words(raw, offs[i : j + 1])
             first, count = words.first, len(words.start)
-            change = np.zeros(count + 1, dtype=np.int64)
-            local = begins[twice[done : done + len(begins)]]
+            kept = np.ones(count, dtype=bool)
+            for p, q in _runs(begins[twice[done : done + len(begins)]], window):
+                again = [window * r for r in within.repeated(_spelt(words, p, q), window)]
+                kept[p:q] &= ~covered([again], window)
             done += len(begins)
-            change[local] += 1
-            change[local + window] -= 1
-            kept = np.cumsum(change)[:count] == 0
             if shard_of is not None and len(begins):
                 # a match of a window's length is made of windows of the shard: only their runs need streaming
                 automaton, known = shard_of
                 hits = begins[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
-                if len(hits):
-                    h = words.hashes()
-                    cuts = np.flatnonzero(np.diff(hits) != 1) + 1
-                    for run_ in np.split(hits, cuts):
-                        p, q = int(run_[0]), int(run_[-1]) + window
-                        kept[p:q] &= ~covered([automaton.statistics(h[p:q].tolist())], window)
+                for p, q in _runs(hits, window):
+                    if kept[p:q].any():
+                        kept[p:q] &= ~covered([automaton.statistics(_spelt(words, p, q))], window)
             kept_sum = np.concatenate([[0], np.cumsum(kept)])
             n = np.diff(first)
             k = kept_sum[first[1:]] - kept_sum[first[:-1]]
@@ -225,9 +255,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    unit_bytes = int(unit_bytes * min(16.0, max(1.0, (size / STEADY_BYTES) ** 0.5)))
     units = max(-(-size // unit_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = base.withColumn("unit", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(3)), F.lit(units)).cast("int"))
+    base = base.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(units)).cast("int"))
     sent = base.groupBy("unit").applyInArrow(_send(window, units), "bucket int, unit int, hashes binary")
     asked = sent.groupBy("bucket").applyInArrow(_ask, "unit int, askers binary, hashes binary")
     shards = base.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_serve(window), "unit int, passages array<binary>")

@@ -28,17 +28,41 @@ MAX_WORDS = 4_000_000
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; transitions are one dict keyed by (state, word)."""
+    """Suffix automaton of several sequences of words, as hashes or as bytes; each state has a dict of transitions.
+
+    ``ends`` counts at how many places the sequences read so far end in a state, before ``count_occurrences`` sums them.
+    """
 
     def __init__(self):
-        self.length, self.link, self.next = [0], [-1], [{}]
+        self.length, self.link, self.next, self.ends = [0], [-1], [{}], [0]
 
-    def add(self, words: list[int]) -> None:
-        last = 0
+    def add(self, words: list) -> None:
+        last, ends = 0, self.ends
         for w in words:
             last = self._extend(last, w)
+            ends[last] += 1
+
+    def count_occurrences(self, window: int) -> None:
+        """Let ``ends`` be the number of places of a state's words, and ``at`` the state of their last ``window`` words."""
+        length, link, ends = self.length, self.link, self.ends
+        order = sorted(range(1, len(length)), key=length.__getitem__, reverse=True)
+        for s in order:
+            ends[link[s]] += ends[s]
+        self.at = list(range(len(length)))
+        for s in reversed(order):
+            if length[link[s]] >= window:
+                self.at[s] = self.at[link[s]]
+
+    def repeated(self, words: list, window: int) -> list[bool]:
+        """For each position of a sequence that was added, whether its last ``window`` words stand at two places or more."""
+        step, ends, at = self.next, self.ends, self.at
+        state, out = 0, []
+        for n, w in enumerate(words, 1):
+            state = step[state][w]
+            out.append(n >= window and ends[at[state]] > 1)
+        return out
 
-    def _extend(self, last: int, w: int) -> int:
+    def _extend(self, last: int, w) -> int:
         length, link, step = self.length, self.link, self.next
         if w in step[last]:  # the generalised automaton: the state may exist from an earlier sequence
             q = step[last][w]
@@ -47,6 +71,7 @@ class Automaton:
         length.append(length[last] + 1)
         link.append(0)
         step.append({})
+        self.ends.append(0)
         p = last
         while p >= 0 and w not in step[p]:
             step[p][w] = new
@@ -56,19 +81,20 @@ class Automaton:
             link[new] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
         return new
 
-    def _clone(self, p: int, w: int, q: int) -> int:
+    def _clone(self, p: int, w, q: int) -> int:
         length, link, step = self.length, self.link, self.next
         copy = len(length)
         length.append(length[p] + 1)
         link.append(link[q])
         step.append(dict(step[q]))
+        self.ends.append(0)
         link[q] = copy
         while p >= 0 and step[p].get(w) == q:
             step[p][w] = copy
             p = link[p]
         return copy
 
-    def statistics(self, words: list[int]) -> list[int]:
+    def statistics(self, words: list) -> list[int]:
         """For each position the length of the longest match that ends there."""
         length, link, step = self.length, self.link, self.next
         state, n, out = 0, 0, []

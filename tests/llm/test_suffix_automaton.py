@@ -42,3 +42,18 @@ def test_remove_reference(spark):
     with pytest.raises(ValueError):
         remove_reference(documents(spark), reference, max_words=100)
     assert all(g["n_removed"] == 0 for g in collected(remove_reference(documents(spark), reference.limit(0))))
+
+
+def test_occurrences_against_brute_force():
+    """Windows that stand at two places or more of several sequences, words as bytes."""
+    rng = random.Random(8)
+    for _ in range(150):
+        window = rng.randrange(1, 5)
+        texts = [[bytes([rng.randrange(97, 97 + rng.randrange(1, 5))]) for _ in range(rng.randrange(1, 25))] for _ in range(rng.randrange(1, 5))]
+        automaton = Automaton()
+        for t in texts:
+            automaton.add(t)
+        automaton.count_occurrences(window)
+        count = Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
+        for t in texts:
+            assert automaton.repeated(t, window) == [n >= window and count[tuple(t[n - window : n])] > 1 for n in range(1, len(t) + 1)]
