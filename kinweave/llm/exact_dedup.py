@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import WHITE, batch, pieces, text_buffers
+from kinweave.llm.common import WHITE, batch, pieces, text_buffers, unused
 from kinweave.operators.components import cut, rekeyed
 
 MIN_CHUNK = 256
@@ -158,20 +158,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of ``docs`` for each distinct text, all its columns."""
     rows = exact_duplicates(docs, id_col, text_col)
     per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept")).alias("stay"))
-    going = cut(per.where("doc_id is null or n > 1 or stay = 0").select(F.col("doc_id").alias("__going"), (F.col("n") > 1).alias("__mixed")))
+    gone, mark = unused(docs, "going"), unused(docs, "__key")
+    going = cut(per.where("doc_id is null or n > 1 or stay = 0").select(F.col("doc_id").alias(gone), (F.col("n") > 1).alias("mixed")))
     own = F.col(id_col).cast("long")
-    n, mixed = going.agg(F.count(F.lit(1)), F.count_if(F.col("__mixed") | F.col("__going").isNull())).first()
-    names = going.select("__going")
-    out = docs.where(own.isNotNull()).join(F.broadcast(names) if n <= broadcast_ids else names, own == F.col("__going"), "left_anti")
+    n, mixed = going.agg(F.count(F.lit(1)), F.count_if(F.col("mixed") | F.col(gone).isNull())).first()
+    names = going.select(gone)
+    out = docs.where(own.isNotNull()).join(F.broadcast(names) if n <= broadcast_ids else names, own == F.col(gone), "left_anti")
     if not mixed:
         return out
-    again = docs.where(own.isNull()).unionByName(docs.join(going.where("__mixed").select("__going"), own == F.col("__going"), "left_semi"))
+    again = docs.where(own.isNull()).unionByName(docs.join(going.where("mixed").select(gone), own == F.col(gone), "left_semi"))
     # rows without an id of their own are told apart by their text too
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
     key = F.concat(F.coalesce(own.cast("string"), F.lit("")), F.lit(":"), sha)
-    kept = rows.where("kept").select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text_sha256").alias("__key"))
-    again = again.withColumn("__key", key)
-    return out.unionByName(again.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    kept = rows.where("kept").select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text_sha256").alias(mark))
+    return out.unionByName(again.withColumn(mark, key).join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark))
 
 
 ORACLE = r"""

@@ -1,13 +1,14 @@
 """WARC archives of Zstandard frames: writer and reader.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, trained on the archive's first
-payloads (``sample`` of them at most); then comes one frame a record. The reader loads the dictionary, walks from frame
+payloads (the first 64 KiB of ``sample`` of them at most; payloads themselves are whole); then comes one frame a record. The reader loads the dictionary, walks from frame
 to frame by their block headers, decodes each, and validates version, mandatory headers, lengths and payload digest;
 a fault raises ``ValueError`` with the archive and the offset. Archives are rows of a table (name, content) in a shared
 folder, a few MB each, written and read by Spark; ``content`` is byte for byte a ``.warc.zst`` file.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is a response, and the
-others revisit it without the payload.
+others revisit it without the payload. Payloads are equal if their SHA-256 and lengths are, which two known texts of one SHA-1 would not
+be; the SHA-1 is the record's digest as the format asks.
 
 Edge cases: null html: empty payload. Null url: ``urn:none``. Null page_id: sorts below every number. Rows that repeat
 the page_id of a response are responses too. Empty table: no archives, no rows. Other columns are ignored.
@@ -108,7 +109,7 @@ def _write(archive_bytes: int, sample: int):
 def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """page_id, url, html, response, refers_to of every record."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html")})
+    rows = rows.withColumns({"sha": F.sha2(F.encode("html", "UTF-8"), 256), "bytes": F.octet_length("html")})
     same = rows.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = rows.join(rekeyed(same, "sha", "bytes"), ["sha", "bytes"], "left")
     response = F.col("n").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
@@ -127,6 +128,8 @@ def write_archives(
 
 def frame_end(data: bytes, at: int) -> int:
     """Where the frame at ``at`` ends, from its header and block headers (RFC 8878)."""
+    if at + 5 > len(data):
+        raise ValueError("truncated frame")
     flags = data[at + 4]
     single = flags >> 5 & 1
     pos = at + 5 + (not single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]

@@ -5,6 +5,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import html_extract, url_filter, warc
 from tests.llm.fixtures import collected
@@ -84,8 +85,6 @@ def test_thousands_of_listed_hosts(spark, max_bytes):
 
 
 def test_cascade_is_exact(spark):
-    from pyspark.sql import functions as F
-
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 5 = 0")
     cascade = url_filter.build_cascade(listed, universe)
@@ -112,6 +111,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, True)).count() == 0
 
 
+def test_clashing_columns(spark):
+    names = ("host", "key", "best", "bytes", "sha", "rule", "listed", "response", "first", "n", "text", "path", "kept", "name", "content")
+    docs = pages(spark).drop("text")
+    wide = docs
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, F.lit(f"c{k}"))
+    for f in (url_filter.judge, warc.round_trip, html_extract.main_text):
+        assert Counter(map(str, collected(f(wide)))) == Counter(map(str, collected(f(docs))))
+
+
 def test_warc_texts_and_limits(spark):
     path = warc.shared_path(spark, "t")
     warc.write_archives(pages(spark), path, min_bytes=10, archive_bytes=2000)
@@ -133,6 +142,11 @@ def test_warc_faults():
     for bad in (data[:-3], bytes(broken), data + b"junk", data[:100]):
         with pytest.raises(ValueError):
             list(warc.records_of(bad))
+    for cut in (1, 3, 4, 5, 6, 9, len(data) - 1):  # truncated anywhere, the magic alone included
+        with pytest.raises(ValueError):
+            list(warc.records_of(warc.FRAME[:cut] if cut <= 4 else data[: len(data) - cut]))
+    with pytest.raises(ValueError):
+        list(warc.records_of(warc.FRAME))
     good = records[0]
     for bad in (good[:-4], good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"Content-Length: ", b"Content-Length: 9")):
         with pytest.raises(ValueError):

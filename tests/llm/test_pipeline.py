@@ -49,3 +49,23 @@ def test_stages(spark, tmp_path):
     assert set(left["mix"]) == set(left["decontamination"])
     assert abs(sum(r.taken for r in mix) - sum(r.size for r in mix)) < 0.2 * sum(r.size for r in mix)
     assert corpus_pipeline.run(spark, DATA).count() == len(mix)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, an empty table, columns whose names operators use themselves."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 11 == 0 else f"some words of document number {i} " * 6, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None) for i in range(40)]
+    rows += [rows[4], (None, None, None, None, None), (None, "no id here at all", None, "s1", 3), (50, "", "en", "s2", 0), (51, " \t ", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.withColumns({n: F.lit(1) for n in ("unit", "rep", "key", "place", "slot", "size", "going", "__key", "gone", "recipe", "block")})
+    for table in (docs, wide, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, DATA)
+            path = str(tmp_path / f"{name}{len(table.columns)}{table is docs}{hash(str(table))}")
+            out.write.parquet(path)
+            back = spark.read.parquet(path)
+            if name == "mix":
+                assert back.count() == table.count()
+            else:
+                assert back.columns == table.columns and back.exceptAll(table).count() == 0
