@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.components import rekeyed
+from kinweave.operators.components import cut, rekeyed
 
 
 def cluster_sizes(membership: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def confidence(membership: DataFrame, edges: DataFrame, style: str = "long", max
     density = F.when(n == 1, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("edge_count", F.lit(0)) / F.nullif(n - 1, F.lit(0)).cast("double")))
     stats = stats.select("resolved_id", "cluster_size", F.coalesce("edge_diversity", F.lit(0)).alias("edge_diversity"), density.alias("match_density"))
     if max_diversity is None:
+        stats = cut(stats)  # read twice
         top = stats.agg(F.greatest(F.lit(1), F.max("edge_diversity")).alias("top"))
         stats = stats.crossJoin(F.broadcast(top))  # one row
     else:

@@ -74,7 +74,7 @@ def _members(spark, d, config) -> DataFrame:
 def _resolved(spark, d, config) -> tuple[DataFrame, DataFrame]:
     """(membership, edges): the edges are made once."""
     links = components.cut(_links(spark, d, config))
-    return components.resolve(_nodes(spark, d, config), links), links
+    return components.cut(components.resolve(_nodes(spark, d, config), links)), links
 
 
 def _t(spark, d, name) -> DataFrame:
