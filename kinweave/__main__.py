@@ -9,10 +9,14 @@ import sys
 from kinweave import __version__
 
 
-def _spark():
+def _spark(store: str):
+    """A session whose checkpoints, unless the cluster names a folder, go beside the store, which all executors reach."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("kinweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("kinweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{store.rstrip('/')}/_checkpoints")
+    return spark
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--folder", help="read sources from FOLDER/<table>.parquet instead of the catalog")
     run.add_argument("--mode", default="FULL")
     run.add_argument("--dry-run", action="store_true")
+    run.add_argument("--max-iters", type=int, help="bound of the rounds of label contraction")
     run.add_argument("--strict", action="store_true", help="no fuzzy matching")
     quick = commands.add_parser("quickstart")
     quick.add_argument("--store", required=True)
@@ -54,10 +59,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "quickstart":
         from kinweave.sources.datagen import customers
 
-        people = customers(_spark(), args.persons)
+        people = customers(_spark(args.store), args.persons)
         source = Source("demo", "demo_customers", "customer_id", (("EMAIL", "email"), ("PHONE", "phone"), ("LOYALTY", "loyalty_id")), (("first_name", "first_name"), ("email", "email")), watermark="created_at")
         config = Config((source,), (Rule("EMAIL"), Rule("PHONE", "DIGITS_ONLY"), Rule("LOYALTY", "NONE")), survivorship=(Survivorship("first_name", "FREQUENCY"), Survivorship("email", "RECENCY")))
-        result = Engine(_spark(), config, lambda s: people, Store(_spark(), args.store)).run()
+        result = Engine(_spark(args.store), config, lambda s: people, Store(_spark(args.store), args.store)).run()
     else:
         try:
             config = load(args.config)
@@ -69,8 +74,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         from kinweave.sources.readers import catalog_reader
 
-        spark = _spark()
-        result = Engine(spark, config, catalog_reader(spark, args.folder), Store(spark, args.store)).run(RunConfig(args.mode, args.dry_run, args.strict))
+        spark = _spark(args.store)
+        result = Engine(spark, config, catalog_reader(spark, args.folder), Store(spark, args.store)).run(RunConfig(args.mode, args.dry_run, args.strict, args.max_iters))
     print(json.dumps(vars(result), indent=2, default=str))
     return 1 if result.status == "FAILED" else 0
 

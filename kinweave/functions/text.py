@@ -47,12 +47,15 @@ def contains_literal(value: Column, text: str) -> Column:
     return F.contains(F.lower(value), F.lower(F.lit(text)))
 
 
-#: (upper bound or None, name), by reader.
+#: (upper bound or None, name), by reader. Bounds and names are fixed values.
 SIZE_BUCKETS = {
-    "health": ((1, "1 (Singleton)"), (2, "2"), (5, "3-5"), (10, "6-10"), (50, "11-50"), (100, "51-100"), (500, "101-500"), (None, "500+")),
-    "five": ((1, "Singletons"), (3, "2-3"), (10, "4-10"), (50, "11-50"), (None, "50+")),
-    "scale": ((1, "1"), (2, "2"), (5, "3-5"), (10, "6-10"), (50, "11-50"), (None, "50+")),
-    "power": ((1, "singleton"), (10, "small"), (100, "medium"), (1000, "large"), (None, "giant")),
+    "health": ((1, "01_singleton"), (5, "02_small (2-5)"), (20, "03_medium (6-20)"), (100, "04_large (21-100)"), (1000, "05_xlarge (101-1000)"), (None, "06_giant (1000+)")),
+    "five": ((1, "singleton"), (5, "2-5"), (20, "6-20"), (100, "21-100"), (None, ">100")),
+    "dashboard": ((1, "1 (singleton)"), (5, "2-5"), (10, "6-10"), (50, "11-50"), (100, "51-100"), (500, "101-500"), (1000, "501-1000"), (None, "1000+")),
+    "quickstart": ((1, "1 (singletons)"), (2, "2 (pairs)"), (5, "3-5 (small)"), (10, "6-10 (medium)"), (None, "11+ (large)")),
+    "guide": ((1, "1 (singletons)"), (5, "2-5"), (20, "6-20"), (100, "21-100"), (None, "100+")),
+    "scale": ((1, "1 (Singleton)"), (2, "2"), (5, "3-5"), (10, "6-10"), (50, "11-50"), (None, "50+")),
+    "power": ((1, "singleton"), (10, "small"), (100, "medium"), (1000, "large"), (None, "GIANT ⚠️")),
 }
 
 

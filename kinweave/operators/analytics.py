@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import SIZE_BUCKETS, bucket, bucket_order, mask_pii, severity, source_id
-
+from kinweave.functions.text import SIZE_BUCKETS, bucket, bucket_order, mask_pii, severity, source_id, source_key
 
 
 def size_histogram(clusters: DataFrame, spec: str = "five") -> DataFrame:
@@ -32,10 +31,10 @@ def rule_audit(evidence: DataFrame) -> DataFrame:
 
 
 def rule_effectiveness(rules: DataFrame, audit: DataFrame) -> DataFrame:
-    """Every rule with its edges in all runs and in the latest one."""
-    latest = audit.agg(F.max("run_id").alias("latest"))
+    """Every rule, with what else ``rules`` says of it, its edges in all runs and in the one that started last."""
+    latest = audit.agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("latest"))
     per = audit.crossJoin(F.broadcast(latest)).groupBy("rule_id").agg(F.sum("edges_created").alias("total_edges"), F.max(F.when(F.col("run_id") == F.col("latest"), F.col("edges_created"))).alias("latest_edges"))
-    return rules.join(per, "rule_id", "left").select("rule_id", F.coalesce("total_edges", F.lit(0)).alias("total_edges"), F.coalesce("latest_edges", F.lit(0)).alias("latest_edges"))
+    return rules.join(per, "rule_id", "left").select(*rules.columns, F.coalesce("total_edges", F.lit(0)).alias("total_edges"), F.coalesce("latest_edges", F.lit(0)).alias("latest_edges"))
 
 
 def identifier_issues(stats: DataFrame, least: int = 100) -> DataFrame:
@@ -69,6 +68,22 @@ def run_trends(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_statistics(runs: DataFrame, today, days: int = 30) -> DataFrame:
+    """The last ``days`` days up to ``today`` (a date): runs, success rate, mean duration, entities and skipped groups of each."""
+    recent = runs.where(F.to_date("started_at").between(F.date_sub(F.lit(today), days), F.lit(today)))
+    return recent.groupBy(F.to_date("started_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("runs"), F.round(100.0 * F.count_if(F.col("status").startswith("SUCCESS")) / F.count(F.lit(1)), 1).alias("success_rate"),
+        F.round(F.avg("duration_seconds"), 0).alias("avg_duration"), F.sum("entities_processed").alias("entities"), F.sum("groups_skipped").alias("groups_skipped"),
+    )
+
+
+def audit_duration(audit: DataFrame, k: int = 10) -> DataFrame:
+    """The latest ``k`` runs of a rule audit: edges, start, end and whole minutes between."""
+    per = audit.groupBy("run_id").agg(F.sum("edges_created").alias("total_edges"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"))
+    minutes = F.floor((F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 60_000_000)
+    return per.withColumn("minutes", minutes).orderBy(F.desc("started_at"), "run_id").limit(k)
+
+
 def success_rate(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("runs"), F.round(100.0 * F.count_if(F.col("status").startswith("SUCCESS")) / F.count(F.lit(1)), 1).alias("success_rate"))
 
@@ -77,8 +92,10 @@ def metric_timeline(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.where(F.col("metric_name") == name).groupBy(F.to_date("recorded_at").alias("day")).agg(F.round(F.avg("metric_value"), 6).alias("avg_value"), F.max("metric_value").alias("max_value"))
 
 
-def percentiles(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.round(F.percentile(column, p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
+def percentiles(df: DataFrame, column: str, by: list[str], accuracy: int | None = None) -> DataFrame:
+    """p50, p90 and p99 of each group: exact ones hold a group's distinct values in one task; with an ``accuracy``, a sketch of that size does."""
+    one = (lambda p: F.percentile(column, p)) if accuracy is None else (lambda p: F.percentile_approx(column, p, accuracy))
+    return df.groupBy(*by).agg(*[F.round(one(p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
 
 
 def cross_source(membership: DataFrame, least: int = 2) -> DataFrame:
@@ -87,9 +104,21 @@ def cross_source(membership: DataFrame, least: int = 2) -> DataFrame:
     return per.groupBy("resolved_id").agg(F.count(F.lit(1)).alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source_id")), ", ").alias("sources"), F.sum("n").alias("members")).where(F.col("n_sources") >= least)
 
 
-def customer_360(membership: DataFrame, per_source: list[str]) -> DataFrame:
+def customer_360(membership: DataFrame, per_source: list[str], profile: DataFrame | None = None) -> DataFrame:
+    """Records of each source for each cluster (a key is in the membership once), beside its profile if one is given."""
     s = source_id(F.col("entity_key"))
-    return membership.groupBy("resolved_id").agg(*[F.count_distinct(F.when(s == name, F.col("entity_key"))).alias(f"{name}_count") for name in per_source])
+    counts = membership.groupBy("resolved_id").agg(*[F.count_if(s == name).alias(f"{name}_count") for name in per_source])
+    return counts if profile is None else profile.join(counts, "resolved_id")
+
+
+def back_to_sources(membership: DataFrame, rows: dict[str, tuple[DataFrame, str]], columns: list[str]) -> DataFrame:
+    """Members with columns of their source rows: ``rows`` has for each source its table and key; one equi-join a source."""
+    split = membership.select("resolved_id", source_id(F.col("entity_key")).alias("source_id"), source_key(F.col("entity_key")).alias("source_key"))
+    parts = []
+    for name, (df, key) in rows.items():
+        own = df.select(F.col(key).cast("string").alias("source_key"), *[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+        parts.append(split.where(F.col("source_id") == name).join(own, "source_key").select("resolved_id", "source_id", "source_key", *columns))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def first_touch(rows: DataFrame, value: str, at: str) -> DataFrame:
@@ -109,8 +138,16 @@ def fragmented(truth: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def null_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    parts = [df.agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(c).alias("filled")) for c in columns]
-    return reduce(DataFrame.unionAll, parts)
+    """(column, rows, filled) of each column, from one pass."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{k}") for k, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"n{k}").alias("filled")) for k, c in enumerate(columns)])
+    return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def all_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: rows, rows with each column, and rows with none of them (``orphaned``)."""
+    none = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"with_{c}") for c in columns], F.count_if(none).alias("orphaned"))
 
 
 def drill_down(membership: DataFrame, identifiers: DataFrame, resolved_ids: DataFrame) -> DataFrame:
@@ -131,6 +168,28 @@ def search(identifiers: DataFrame, membership: DataFrame, text: str, limit: int
     return membership.join(hit, "entity_key", "left_semi").select("resolved_id").distinct().orderBy("resolved_id").limit(min(limit, 50))
 
 
+def search_clusters(edges: DataFrame, membership: DataFrame, clusters: DataFrame, text: str, limit: int = 50, least: int = 3) -> DataFrame:
+    """(resolved_id, cluster_size) of clusters with an edge whose value contains ``text``: edges are filtered first, then their ends joined."""
+    found = clusters.select("resolved_id", "cluster_size")
+    if len(text) < least:
+        return found.limit(0)
+    hit = edges.where(F.contains(F.lower("identifier_value_norm"), F.lit(text.lower()))).select(F.explode(F.array("left_entity_key", "right_entity_key")).alias("entity_key")).distinct()
+    ids = membership.join(hit, "entity_key", "left_semi").select("resolved_id").distinct()
+    return found.join(ids, "resolved_id", "left_semi").orderBy("resolved_id").limit(min(limit, 50))
+
+
+def cluster_detail(clusters: DataFrame, membership: DataFrame, edges: DataFrame, resolved_id: str) -> dict[str, DataFrame]:
+    """A cluster's header (no row if unknown), members and edges, values masked."""
+    header = clusters.where(F.col("resolved_id") == resolved_id).select("resolved_id", "cluster_size", "confidence_score")
+    links = edges_of(edges, membership, resolved_id).select("left_entity_key", "right_entity_key", "identifier_type", mask_pii(F.col("identifier_value_norm"), False).alias("value"))
+    return {"cluster": header, "members": members(membership, resolved_id), "edges": links}
+
+
+def problem_identifiers(stats: DataFrame, k: int = 20) -> DataFrame:
+    """The largest identifier groups."""
+    return stats.orderBy(F.desc("group_size"), "identifier_type", "identifier_value_norm").limit(k).select("identifier_type", "identifier_value_norm", "group_size")
+
+
 def members(membership: DataFrame, resolved_id: str) -> DataFrame:
     return membership.where(F.col("resolved_id") == resolved_id).select("entity_key", source_id(F.col("entity_key")).alias("source_id"))
 

@@ -34,13 +34,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def scratch(spark: SparkSession):
     """Checkpoints made inside go to a folder of their own, which is deleted at the end: read what they hold before."""
     ensure_checkpoint_dir(spark)
-    before = spark.sparkContext.getCheckpointDir()
-    spark.sparkContext.setCheckpointDir(f"{before}/scratch")
+    context = spark.sparkContext._jsc.sc()
+    before = context.checkpointDir()
+    spark.sparkContext.setCheckpointDir(f"{spark.sparkContext.getCheckpointDir()}/scratch")
     own = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
     try:
         yield
     finally:
-        spark.sparkContext._jsc.sc().setCheckpointDir(before)  # makes one more empty folder there
+        getattr(context, "checkpointDir_$eq")(before)
         own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 

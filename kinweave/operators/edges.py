@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import rekeyed
@@ -22,10 +22,11 @@ def skipped_groups(identifiers: DataFrame, run_id: str = "", at: datetime | None
     """Groups above their cap, with the five smallest keys. The caps are found first; samples are taken for those alone."""
     big = group_stats(identifiers).where("group_size > max_group_size")
     rows = identifiers.select("entity_key", *KEYS).distinct().join(rekeyed(big.select(*KEYS), *KEYS), KEYS)
-    # five smallest of each hash part, then five smallest of those: no group is gathered whole
-    part = F.pmod(F.xxhash64("entity_key"), F.lit(64))
-    few = rows.groupBy(*KEYS, part.alias("part")).agg(F.slice(F.sort_array(F.collect_set("entity_key")), 1, 5).alias("some"))
-    sample = few.select(*KEYS, F.explode("some").alias("k")).groupBy(*KEYS).agg(F.to_json(F.slice(F.sort_array(F.collect_set("k")), 1, 5)).alias("sample_entity_keys"))
+    # the limit is applied in every task before rows are shuffled: a group sends five rows a task, then a part of its hash five
+    part = Window.partitionBy(*KEYS, F.pmod(F.xxhash64("entity_key"), F.lit(64))).orderBy("entity_key")
+    few = rows.withColumn("k", F.row_number().over(part)).where("k <= 5").drop("k")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("entity_key"))).where("k <= 5")
+    sample = few.groupBy(*KEYS).agg(F.to_json(F.sort_array(F.collect_list("entity_key"))).alias("sample_entity_keys"))
     return big.join(sample, KEYS).select(
         F.lit(run_id).alias("run_id"), *KEYS, "group_size", F.col("max_group_size").alias("max_allowed"), "sample_entity_keys",
         F.lit("EXCEEDED_MAX_GROUP_SIZE").alias("reason"), F.lit(at).cast("timestamp").alias("skipped_at"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import canonical, entity_key
-from kinweave.plans.config import Config, Exclusion, Source
+from kinweave.plans.config import Config, Exclusion, Rule, Source
 
 Read = Callable[[Source], DataFrame]
 EPOCH = "1970-01-01 00:00:00"
@@ -52,24 +52,31 @@ def identifiers(spark: SparkSession, config: Config, read: Read, state: dict[str
             F.struct(F.lit(t).alias("identifier_type"), canonical(F.expr(e), rules[t].canonicalize).alias("identifier_value_norm"), F.lit(rules[t].max_group_size).alias("max_group_size"), F.lit(t in s.hashed).alias("is_hashed"))
             for t, e in mapped
         ])
-        parts.append(rows.select(entity_key(s.table_id, s.key).alias("entity_key"), F.explode(cells).alias("c")).select("entity_key", "c.*").where("identifier_value_norm is not null"))
+        parts.append(rows.select(entity_key(s.table_id, s.key).alias("entity_key"), F.explode(cells).alias("c")).select("entity_key", "c.*").where(_present(rules, [t for t, _ in mapped])))
     return without_excluded(_union(spark, parts, IDENTIFIERS), config.exclusions).distinct()
 
 
+def _present(rules: dict[str, Rule], types: list[str]):
+    """Null values are left out, but for types whose rule allows them (they are carried and link nothing)."""
+    free = [t for t in types if not rules[t].require_non_null]
+    there = F.col("identifier_value_norm").isNotNull()
+    return there | F.col("identifier_type").isin(free) if free else there
+
+
 def without_excluded(ids: DataFrame, exclusions: tuple[Exclusion, ...]) -> DataFrame:
-    """Drop identifiers that an exclusion names, by equality or LIKE, on the canonical value."""
+    """Drop identifiers that an exclusion names, by equality or LIKE, on the canonical value.
+
+    Values to be dropped by equality are a table of their own, however many: an anti join.
+    """
     value, kind = F.col("identifier_value_norm"), F.col("identifier_type")
-    exact: dict[str, list[str]] = {}
-    for x in exclusions:
-        if x.match == "EXACT":
-            exact.setdefault(x.identifier_type, []).append(x.pattern)
+    exact = sorted({(x.identifier_type, x.pattern) for x in exclusions if x.match == "EXACT"})
+    if exact:
+        ids = ids.join(ids.sparkSession.createDataFrame(exact, "identifier_type string, identifier_value_norm string"), ["identifier_type", "identifier_value_norm"], "left_anti").select(*ids.columns)
     gone = F.lit(False)
-    for t, values in exact.items():
-        gone = gone | ((kind == t) & value.isin(values))
     for x in exclusions:
         if x.match == "LIKE":
             gone = gone | ((kind == x.identifier_type) & value.like(x.pattern))
-    return ids.where(~gone)
+    return ids.where(~F.coalesce(gone, F.lit(False)))
 
 
 def attributes(spark: SparkSession, config: Config, read: Read) -> DataFrame:

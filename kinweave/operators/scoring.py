@@ -46,15 +46,22 @@ def _reason(n: Column, diversity: Column, density: Column, style: str) -> Column
 
 
 def confidence(membership: DataFrame, edges: DataFrame, style: str = "long", max_diversity: int | None = None) -> DataFrame:
-    """(resolved_id, cluster_size, edge_diversity, match_density, confidence_score, primary_reason).
+    """(resolved_id, cluster_size, edge_diversity, match_density, confidence_score, primary_reason)."""
+    return scored(statistics(membership, edges), style, max_diversity)
 
-    Score: 1 for one member; else .50 diversity / largest diversity + .35 density + .15, three digits, where density is
-    the number of edge ends over size - 1, 1 at most.
-    """
+
+def statistics(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """(resolved_id, cluster_size, edge_diversity, match_density): density is the number of edge ends over size - 1, 1 at most."""
     stats = cluster_sizes(membership).join(edge_stats(membership, edges), "resolved_id", "left")
     n = F.col("cluster_size")
     density = F.when(n == 1, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("edge_count", F.lit(0)) / F.nullif(n - 1, F.lit(0)).cast("double")))
-    stats = stats.select("resolved_id", "cluster_size", F.coalesce("edge_diversity", F.lit(0)).alias("edge_diversity"), density.alias("match_density"))
+    return stats.select("resolved_id", "cluster_size", F.coalesce("edge_diversity", F.lit(0)).alias("edge_diversity"), density.alias("match_density"))
+
+
+def scored(stats: DataFrame, style: str = "long", max_diversity: int | None = None) -> DataFrame:
+    """Statistics with scores: 1 for one member; else .50 diversity / largest diversity + .35 density + .15, three digits. Other
+    columns are carried. Statistics of clusters that did not change need not be made again when the largest diversity does."""
+    n = F.col("cluster_size")
     if max_diversity is None:
         stats = cut(stats)  # read twice
         top = stats.agg(F.greatest(F.lit(1), F.max("edge_diversity")).alias("top"))
@@ -62,8 +69,12 @@ def confidence(membership: DataFrame, edges: DataFrame, style: str = "long", max
     else:
         stats = stats.withColumn("top", F.lit(max_diversity))
     score = F.when(n == 1, 1.0).otherwise(F.round(0.5 * F.col("edge_diversity") / F.col("top") + 0.35 * F.col("match_density") + 0.15, 3))
-    return stats.select("resolved_id", "cluster_size", "edge_diversity", "match_density", score.alias("confidence_score"), _reason(n, F.col("edge_diversity"), F.col("match_density"), style).alias("primary_reason"))
+    reason = _reason(n, F.col("edge_diversity"), F.col("match_density"), style)
+    rest = [c for c in stats.columns if c not in ("resolved_id", "cluster_size", "edge_diversity", "match_density", "top", "confidence_score", "primary_reason")]
+    return stats.select("resolved_id", "cluster_size", "edge_diversity", "match_density", score.alias("confidence_score"), reason.alias("primary_reason"), *rest)
 
 
-def clusters(membership: DataFrame, edges: DataFrame) -> DataFrame:
-    return confidence(membership, edges).join(rekeyed(pair_density(membership, edges), "resolved_id"), "resolved_id")
+def clusters(membership: DataFrame, edges: DataFrame, stored: DataFrame | None = None, stamp: dict[str, Column] | None = None) -> DataFrame:
+    """Scores and pair densities; ``stamp``: further columns of these; ``stored``: a cluster table that goes on beside them as it is, but for scores."""
+    stats = statistics(membership, edges).join(rekeyed(pair_density(membership, edges), "resolved_id"), "resolved_id").withColumns(stamp or {})
+    return scored(stats if stored is None else stored.select(*stats.columns).unionByName(stats))

@@ -44,6 +44,13 @@ def golden(wide: DataFrame, membership: DataFrame, rules: tuple[Survivorship, ..
     return joined.groupBy("resolved_id").agg(*[pick(r) for r in rules if r.active])
 
 
+def golden_incremental(wide: DataFrame, membership: DataFrame, rules: tuple[Survivorship, ...], stored: DataFrame, touched: DataFrame, stamp: dict[str, Column] | None = None) -> DataFrame:
+    """``golden`` of the clusters in ``touched`` (resolved_id: new ones and those that are gone), with ``stamp``, in place of their stored rows."""
+    ids = touched.select("resolved_id").distinct()
+    fresh = golden(wide, membership.join(ids, "resolved_id", "left_semi"), rules).withColumns(stamp or {})
+    return stored.join(ids, "resolved_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
 def value_counts(wide: DataFrame, membership: DataFrame, names: list[str]) -> DataFrame:
     """(resolved_id, attribute, value, n, first_seen, last_seen)."""
     cells = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).alias("value")) for n in names])
@@ -56,3 +63,12 @@ def ranked(counts: DataFrame, strategy: str = "MOST_RECENT") -> DataFrame:
     order = {"MOST_FREQUENT": [F.desc("n")], "FIRST_SEEN": [F.asc("first_seen")]}.get(strategy, [F.desc("last_seen")])
     w = Window.partitionBy("resolved_id", "attribute").orderBy(*order, "value")
     return counts.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+
+
+def ranked_by_source(wide: DataFrame, membership: DataFrame, names: list[str], priority: tuple[str, ...] = ()) -> DataFrame:
+    """(resolved_id, attribute, value): each attribute's first value by source priority, if one is given, then the latest, then the smallest."""
+    cells = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).alias("value")) for n in names])
+    rows = wide.join(membership.select("entity_key", "resolved_id"), "entity_key").select("resolved_id", "source_id", "recency", F.explode(cells).alias("c")).select("resolved_id", "source_id", "recency", "c.*")
+    order = [*([rank_of(F.col("source_id"), priority)] if priority else []), F.desc_nulls_last("recency"), F.asc("value")]
+    w = Window.partitionBy("resolved_id", "attribute").orderBy(*order)
+    return rows.where("value is not null").withColumn("rank", F.row_number().over(w)).where("rank = 1").select("resolved_id", "attribute", "value")

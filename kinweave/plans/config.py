@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 STRATEGIES = {
@@ -127,6 +127,11 @@ class Config:
     def active_sources(self) -> list[Source]:
         return [s for s in self.sources if s.active]
 
+    def survivorship_rules(self) -> tuple[Survivorship, ...]:
+        """Active rules; one by priority without a list takes the sources in order of their trust rank (1 first, none last)."""
+        ranked = tuple(s.table_id for s in sorted((s for s in self.sources if s.trust_rank is not None), key=lambda s: (s.trust_rank, s.table_id)))
+        return tuple(replace(r, priority=ranked) if STRATEGIES[r.strategy] == "PRIORITY" and not r.priority else r for r in self.survivorship if r.active)
+
     def rule_of(self) -> dict[str, Rule]:
         return {r.identifier_type: r for r in self.rules if r.active}
 
@@ -221,7 +226,7 @@ def from_dict(raw: dict) -> Config:
         sources.append(Source(
             table_id, check_table(str(s.get("table") or s.get("table_fqn") or table_id)), check_expression(str(s.get("entity_key") or s.get("entity_key_expr") or s.get("key") or "id"), "key"), ids, attrs,
             s.get("watermark_column") or s.get("watermark"), int(check_number(s.get("watermark_lookback_minutes", s.get("watermark_lookback", s.get("lookback_minutes", 0))) or 0, "lookback", True)),
-            str(s.get("entity_type", "PERSON")), bool(s.get("is_active", s.get("active", True))), s.get("trust_rank"), _words(s.get("hashed")), s.get("format"),
+            str(s.get("entity_type", "PERSON")), bool(s.get("is_active", s.get("active", True))), None if s.get("trust_rank") is None else int(check_number(s["trust_rank"], "trust rank", True)), _words(s.get("hashed")), s.get("format"),
         ))
     exclusions = tuple(Exclusion(str(x.get("identifier_type") or x.get("type")), str(x.get("pattern") or x.get("identifier_value_pattern") or x.get("value")), str(x.get("match_type") or x.get("match") or "EXACT").upper(), str(x.get("reason") or "")) for x in raw.get("exclusions") or [])
     for x in exclusions:

@@ -7,12 +7,16 @@ previous state whole. No executor writes anything but Spark's own output.
 
 from __future__ import annotations
 
+import importlib
 import json
 import logging
+import time
+import urllib.request
 import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +31,19 @@ SCHEMAS = {
     "stage_metrics": "run_id string, stage_name string, stage_order int, started_at timestamp, duration_seconds double, rows_out bigint",
     "config_snapshot": "config_hash string, config_json string, created_at timestamp",
     "run_state": "table_id string, last_watermark_value timestamp, last_run_id string, updated_at timestamp",
-    "dry_run_results": "run_id string, entity_key string, current_resolved_id string, proposed_resolved_id string, change_type string, current_cluster_size bigint, proposed_cluster_size bigint",
+    "dry_run_results": "run_id string, entity_key string, current_resolved_id string, proposed_resolved_id string, change_type string, current_cluster_size bigint, proposed_cluster_size bigint, created_at timestamp",
     "rule_audit": "run_id string, rule_id string, edges_created bigint, started_at timestamp, ended_at timestamp",
     "metrics_export": "metric_id string, run_id string, metric_name string, metric_value double, metric_type string, dimensions string, recorded_at timestamp, exported_at timestamp",
 }
 
+#: Days that rows of a table are kept, by their time column; null times stay.
+RETENTION = {"skipped_groups": ("skipped_at", 30), "dry_run_results": ("created_at", 7), "metrics_export": ("recorded_at", 90)}
+STALE_LOCK_HOURS = 4
+
+
+class Conflict(RuntimeError):
+    """Another writer published, or is publishing, since the state that this one started from."""
+
 
 def schema_rows(spark: SparkSession) -> DataFrame:
     """(table_name, column_name, column_type) of every system table."""
@@ -68,7 +80,12 @@ def watermark_state(entities: DataFrame, run_id: str, at: datetime) -> DataFrame
 
 
 def retained(df: DataFrame, column: str, now: datetime, days: int) -> DataFrame:
-    return df.where(F.col(column) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return df.where(F.col(column).isNull() | (F.col(column) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")))
+
+
+def kept(table: str, df: DataFrame, now: datetime) -> DataFrame:
+    """The rows of a system table that its retention keeps."""
+    return retained(df, RETENTION[table][0], now, RETENTION[table][1]) if table in RETENTION else df
 
 
 def mark_exported(metrics: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
@@ -106,19 +123,43 @@ class Store:
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}").collect()))
 
     def read(self, table: str) -> DataFrame:
+        """The current version; columns that its schema has gained since are null."""
         version = self.current().get(table)
         if version is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.parquet(f"{self.folder}/{table}/{version}")
+        df = self.spark.read.parquet(f"{self.folder}/{table}/{version}")
+        return conform(df, SCHEMAS[table]) if table in SCHEMAS else df
+
+    def _lock(self, number: int) -> None:
+        """Take the number of the next manifest: creating the file is atomic, so one of several writers gets it."""
+        path = self._path(f"{self.folder}/_manifests/.lock-{number:08d}")
+        try:
+            self._fs.create(path, False).close()
+        except Py4JJavaError as e:
+            if not self._fs.exists(path):
+                raise
+            hours = (time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000) / 3600
+            if hours < STALE_LOCK_HOURS:
+                raise Conflict(f"manifest {number} is being written by another run") from e
+            self._fs.create(path, True).close()  # its writer is gone
+
+    def initialize(self, reset: bool = False) -> None:
+        """Make every system table, empty where it is missing or, with ``reset``, all of them; older versions stay on disk."""
+        have = set() if reset else set(self.current())
+        self.publish({name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items() if name not in have})
 
     def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Write a new version of each table, then the manifest that makes all of them visible at once."""
+        """Write a new version of each table, then the manifest that makes all of them visible at once.
+
+        Raises ``Conflict`` if another writer has taken the manifest that follows the state read here.
+        """
+        number = len(self._manifests())  # counted first: what is published after this makes the lock fail
         before = self.current()
         version = uuid.uuid4().hex
         for name, df in tables.items():
             (conform(df, SCHEMAS[name]) if name in SCHEMAS else df).write.parquet(f"{self.folder}/{name}/{version}")
         body = json.dumps(before | {name: version for name in tables})
-        number = len(self._manifests())
+        self._lock(number)
         text = self.spark.range(1).select(F.lit(body).alias("value")).coalesce(1)
         text.write.text(f"{self.folder}/_manifests/{number:08d}")
 
@@ -136,12 +177,37 @@ class JsonFormatter(logging.Formatter):
         return json.dumps(out | {f: getattr(record, f) for f in self.FIELDS if hasattr(record, f)})
 
 
+def webhook(url: str, headers: dict[str, str] | None = None, timeout: float = 10.0) -> Callable[[list[dict]], None]:
+    """A sink that posts each batch as JSON: ``{"metrics": [...]}``; an answer other than 2xx raises."""
+
+    def send(rows: list[dict]) -> None:
+        body = json.dumps({"metrics": rows}, default=str).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json", **(headers or {})}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout):
+            pass
+
+    return send
+
+
 EXPORTERS: dict[str, Callable[[list[dict]], None]] = {
     "stdout": lambda rows: print("\n".join(json.dumps(r, default=str) for r in rows)),
     "log": lambda rows: [logging.getLogger("kinweave.metrics").info(json.dumps(r, default=str)) for r in rows] and None,
+    "prometheus": lambda rows: print(prometheus_text(rows)),
 }
 
 
+def exporter(name: str) -> Callable[[list[dict]], None]:
+    """A registered sink, a URL to post to, or ``module:function``."""
+    if name in EXPORTERS:
+        return EXPORTERS[name]
+    if name.startswith(("http://", "https://")):
+        return webhook(name)
+    module, colon, function = name.partition(":")
+    if not colon:
+        raise ValueError(f"unknown exporter {name}")
+    return getattr(importlib.import_module(module), function)
+
+
 def prometheus_text(rows: list[dict]) -> str:
     lines = []
     for r in rows:
@@ -150,12 +216,22 @@ def prometheus_text(rows: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def export(store: Store, exporter: str, at: datetime, limit: int = 1000) -> int:
+def export(store: Store, sink: str, at: datetime, limit: int = 1000) -> int:
     """Send a bounded batch of metrics, oldest first, and mark it."""
     batch = unexported(store.read("metrics_export"), limit)
     rows = [r.asDict() for r in batch.collect()]  # at most ``limit``
     if rows:
-        EXPORTERS[exporter](rows)
+        exporter(sink)(rows)
         ids = store.spark.createDataFrame([(r["metric_id"],) for r in rows], "metric_id string")
         store.publish({"metrics_export": mark_exported(store.read("metrics_export"), ids, at)})
     return len(rows)
+
+
+def export_loop(store: Store, sink: str, clock: Callable[[], datetime], pause: Callable[[], bool], limit: int = 1000) -> int:
+    """Export until ``pause()``, called when nothing is left, says to stop; returns how many metrics were sent."""
+    sent = 0
+    while True:
+        n = export(store, sink, clock(), limit)
+        sent += n
+        if not n and not pause():
+            return sent

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import analytics as Q
 from kinweave.operators import edges
+from kinweave.plans.config import Config
 from kinweave.sources.store import Store
 
 
-def views(store: Store) -> dict[str, DataFrame]:
+def views(store: Store, config: Config | None = None) -> dict[str, DataFrame]:
+    """With a configuration, the rules' view has every active rule with its type and priority, in order."""
     runs, clusters, skipped, audit = (store.read(t) for t in ("run_history", "clusters", "skipped_groups", "rule_audit"))
-    rules = audit.select("rule_id").distinct()
+    rules = store.spark.createDataFrame([(r.name, r.name, r.identifier_type, r.priority) for r in config.rules if r.active], "rule_id string, rule_name string, identifier_type string, priority int") if config else audit.select("rule_id").distinct()
     return {
         "v_run_summary": Q.latest_runs(runs), "v_cluster_health": Q.size_histogram(clusters, "health"), "v_identifier_issues": Q.identifier_issues(edges.group_stats(store.read("identifiers"))),
-        "v_rule_effectiveness": Q.rule_effectiveness(rules, audit), "v_run_trends": Q.run_trends(runs), "v_alerts": Q.alerts(skipped, clusters), "v_largest": Q.largest(clusters), "v_rule_share": Q.rule_share(store.read("edges")),
+        "v_rule_effectiveness": Q.rule_effectiveness(rules, audit).orderBy("priority" if config else "rule_id"), "v_run_trends": Q.run_trends(runs), "v_alerts": Q.alerts(skipped, clusters), "v_largest": Q.largest(clusters), "v_rule_share": Q.rule_share(store.read("edges")),
         "v_skipped": skipped.orderBy(F.desc("group_size"), "identifier_value_norm").limit(100), "v_totals": Q.totals(clusters, store.read("edges")),
     }
 
 
-def register(store: Store) -> list[str]:
-    found = views(store)
+def register(store: Store, config: Config | None = None) -> list[str]:
+    found = views(store, config)
     for name, df in found.items():
         df.createOrReplaceTempView(name)
     return sorted(found)

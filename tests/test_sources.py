@@ -113,6 +113,5 @@ def test_streams(spark, tmp_path):
     engine.read = lambda s: spark.createDataFrame([], "nothing int")
     assert engine.run(RunConfig(), NOW).status == "FAILED"
     seen = []
-    version = engine.store.current()["run_history"]
-    ingest.run_alerts(spark, str(tmp_path / "s" / "run_history" / version), str(tmp_path / "a"), lambda b: seen.extend(b.collect())).awaitTermination(120)
+    ingest.run_alerts(spark, str(tmp_path / "s"), str(tmp_path / "a"), lambda b: seen.extend(b.collect())).awaitTermination(120)
     assert [r.status for r in seen] == ["FAILED"]
