@@ -186,8 +186,8 @@ def connected_components(spark, d):
 
 @_query(_sql("SELECT entity_key, resolved_id FROM mem WHERE entity_key = resolved_id AND entity_key NOT IN (SELECT left_entity_key FROM lnk UNION SELECT right_entity_key FROM lnk)", I_D, cc=True))
 def singletons(spark, d):
-    linked = edges.both_ways(_links(spark, d, D)).select(F.col("src").alias("entity_key"))
-    return _members(spark, d, D).join(linked, "entity_key", "left_anti")
+    members, links = _resolved(spark, d, D)
+    return members.join(edges.both_ways(links).select(F.col("src").alias("entity_key")), "entity_key", "left_anti")
 
 
 @_query(_sql("SELECT entity_key, resolved_id, split_part(entity_key, ':', 1) AS source_id, substr(entity_key, strpos(entity_key, ':') + 1) AS source_key FROM mem", I_A, E_A, cc=True))
@@ -229,32 +229,37 @@ def pair_density(spark, d):
     return scoring.pair_density(*_resolved(spark, d, D))
 
 
-DELTA_A = "del AS (SELECT * FROM ids WHERE entity_key LIKE 'events:%' AND CAST(substr(entity_key, 8) AS BIGINT) < 50)"
+DELTA_A = "del AS (SELECT * FROM ids WHERE entity_key IN (SELECT 'events:' || event_id FROM events WHERE ts > TIMESTAMP '2024-01-15') OR entity_key IN (SELECT 'orders:' || o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01'))"
 
 
-def _delta(ids: DataFrame) -> DataFrame:
-    return ids.where("entity_key like 'events:%'").where(F.substring_index("entity_key", ":", -1).cast("long") < 50)
+def _delta(spark, d) -> DataFrame:
+    """Entities that the stored watermarks make new."""
+    return extract.entities(spark, Config((ORDERS, EVENTS), A.rules), _read(spark, d), LATE, True).select("entity_key")
 
 
 @_query(f"WITH {I_A}, {DELTA_A} SELECT entity_key, t AS identifier_type, v AS identifier_value_norm FROM ids WHERE v IN (SELECT v FROM del)")
 def delta_members(spark, d):
     ids = _ids(spark, d, A)
-    return edges.delta_members(_delta(ids), ids).select("entity_key", "identifier_type", "identifier_value_norm")
+    return edges.delta_members(ids.join(_delta(spark, d), "entity_key", "left_semi"), ids).select("entity_key", "identifier_type", "identifier_value_norm")
 
 
-NEW = "nw AS (SELECT * FROM lnk WHERE left_entity_key LIKE 'orders:1%'), ends AS (SELECT left_entity_key AS k FROM nw UNION SELECT right_entity_key FROM nw), imp AS (SELECT k FROM ends UNION SELECT right_entity_key FROM lnk WHERE left_entity_key IN (SELECT k FROM ends) UNION SELECT left_entity_key FROM lnk WHERE right_entity_key IN (SELECT k FROM ends))"
+NEW = DELTA_A + ", nw AS (SELECT * FROM lnk WHERE left_entity_key IN (SELECT entity_key FROM del)), ends AS (SELECT left_entity_key AS k FROM nw UNION SELECT right_entity_key FROM nw), imp AS (SELECT k FROM ends UNION SELECT right_entity_key FROM lnk WHERE left_entity_key IN (SELECT k FROM ends) UNION SELECT left_entity_key FROM lnk WHERE right_entity_key IN (SELECT k FROM ends))"
 
 
 @_query(_sql("", I_A) + f", {NEW} SELECT k AS entity_key FROM imp")
 def impacted_nodes(spark, d):
-    links = _links(spark, d, A)
-    return edges.impacted_nodes(links.where("left_entity_key like 'orders:1%'"), links)
+    links = components.cut(_links(spark, d, A))
+    return edges.impacted_nodes(_new_edges(spark, d, links), links)
+
+
+def _new_edges(spark, d, links: DataFrame) -> DataFrame:
+    return links.join(_delta(spark, d).withColumnRenamed("entity_key", "left_entity_key"), "left_entity_key", "left_semi")
 
 
 @_query(_sql("", I_A) + f", {NEW} SELECT lnk.* FROM lnk WHERE left_entity_key IN (SELECT k FROM imp) AND right_entity_key IN (SELECT k FROM imp)")
 def impacted_subgraph(spark, d):
-    links = _links(spark, d, A)
-    return edges.induced(links, edges.impacted_nodes(links.where("left_entity_key like 'orders:1%'"), links))
+    links = components.cut(_links(spark, d, A))
+    return edges.induced(links, edges.impacted_nodes(_new_edges(spark, d, links), links))
 
 
 SUPPLIER_PROFILE = Config((SUPPLIERS,), (Rule("SUPPLIER", "NONE"),), fuzzy=(FuzzyRule("name", "nation", "1.0 - levenshtein(<a>.name, <b>.name) / greatest(length(<a>.name), length(<b>.name), 1)", 0.9),))
@@ -380,7 +385,7 @@ CUR = """p AS (SELECT entity_key, c FROM (SELECT 'customer:' || c_custkey AS ent
 
 
 def _states(spark, d) -> tuple[DataFrame, DataFrame]:
-    new = _members(spark, d, A)
+    new = components.cut(_members(spark, d, A))
     old = new.where("entity_key not like 'events:%1'").select("entity_key", F.when(F.col("entity_key").like("%3"), F.col("entity_key")).otherwise(F.col("resolved_id")).alias("resolved_id"))
     return new, old.unionAll(spark.sql("SELECT 'gone:1', 'gone:1'"))
 
@@ -400,7 +405,7 @@ SELECT count(*) FILTER (change_type = 'NEW') AS new_entities, count(*) FILTER (c
  (SELECT max(n) FROM (SELECT count(*) AS n FROM prop GROUP BY resolved_id)) AS largest_proposed_cluster, (SELECT count(*) FROM (SELECT 1 FROM b GROUP BY proposed_resolved_id HAVING count(DISTINCT current_resolved_id) > 1)) AS merged_clusters,
  (SELECT count(*) FROM (SELECT 1 FROM b GROUP BY current_resolved_id HAVING count(DISTINCT proposed_resolved_id) > 1)) AS split_clusters FROM ch""")
 def dry_run_summary(spark, d):
-    return preview.summary(preview.changes(*_states(spark, d), removed=True))
+    return preview.summary(components.cut(preview.changes(*_states(spark, d), removed=True)))  # read three times
 
 
 @_query(f"WITH {CUR} SELECT change_type, count(*) AS n FROM ch GROUP BY 1")
@@ -634,7 +639,7 @@ def undirected_edges_distinct(spark, d):
 
 @_query(f"WITH {I_B}, {G} SELECT t AS identifier_type, v AS identifier_value_norm, n AS group_size FROM grp ORDER BY n DESC, t, v LIMIT 20")
 def problem_identifiers_topk(spark, d):
-    return edges.group_stats(_ids(spark, d, B)).orderBy(F.desc("group_size"), "identifier_type", "identifier_value_norm").limit(20).select("identifier_type", "identifier_value_norm", "group_size")
+    return Q.problem_identifiers(edges.group_stats(_ids(spark, d, B)))
 
 
 def _runs(spark, d) -> DataFrame:
@@ -678,14 +683,6 @@ def engine_full_run(spark, d):
     return place.read("membership").select("resolved_id", "entity_key")
 
 
-@_query()
-def synthetic_customers(spark, d):
-    """A thousand generated persons with their truth; hashes of its own, so without SQL."""
-    from kinweave.sources.datagen import customers
-
-    return customers(spark, 1000, typo_rate=0.08, nickname_rate=0.25)
-
-
 @_query()
 def sound_codes(spark, d):
     return _t(spark, d, "supplier").select("s_suppkey", T.metaphone(F.col("s_name")).alias("metaphone"), F.soundex("s_name").alias("soundex"))

@@ -14,8 +14,8 @@ from kinweave.plans.config import Config, ConfigError, Source
 _PART = re.compile(r"(?P<table>.+?)(?:_part_\d+)?\.parquet$")
 
 
-def catalog_reader(spark: SparkSession, folder: str | None = None) -> Callable[[Source], DataFrame]:
-    """Read a source by its format, from a catalog table, or from ``folder/<table>.parquet``."""
+def catalog_reader(spark: SparkSession, folder: str | None = None, prefix: str = "") -> Callable[[Source], DataFrame]:
+    """Read a source by its format, from a catalog table, or from ``folder/<table>.parquet``; ``prefix``: a catalog or database put before table names."""
 
     def read(source: Source) -> DataFrame:
         if source.format:
@@ -23,7 +23,7 @@ def catalog_reader(spark: SparkSession, folder: str | None = None) -> Callable[[
             return spark.read.format(source.format).options(**options).load(source.table if folder is None else f"{folder}/{source.table}")
         if folder is not None:
             return spark.read.parquet(f"{folder}/{source.table}.parquet")
-        return spark.table(source.table)
+        return spark.table(f"{prefix}.{source.table}" if prefix else source.table)
 
     return read
 
@@ -53,8 +53,31 @@ def read_seed(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def query(spark: SparkSession, sql: str, **args) -> list[dict]:
-    return [r.asDict() for r in spark.sql(sql, args=args).collect()]
+#: Rows that ``query`` brings to the driver at most.
+MOST_ROWS = 100_000
+
+
+def query(spark: SparkSession, sql: str, args: list | None = None, most: int = MOST_ROWS, **named) -> list[dict]:
+    """Rows of a query with named (``:name``) or positional (``?``) parameters; more than ``most`` are an error, not a cut."""
+    rows = spark.sql(sql, args=args if args is not None else named).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the query has more than {most} rows")
+    return [r.asDict() for r in rows]
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script, split at semicolons outside quotes and comments."""
+    parts = re.findall(r"(?:'(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[^;])+", script, re.S)
+    bare = [re.sub(r"--[^\n]*|/\*.*?\*/", "", p, flags=re.S).strip() for p in parts]
+    return [p.strip() for p, b in zip(parts, bare) if b]
+
+
+def run_script(spark: SparkSession, script: str) -> int:
+    """Run each statement of a script, in order; returns how many there were."""
+    found = statements(script)
+    for s in found:
+        spark.sql(s)
+    return len(found)
 
 
 def query_one(spark: SparkSession, sql: str, **args):
@@ -82,6 +105,16 @@ def findings(spark: SparkSession, config: Config, read: Callable[[Source], DataF
     if not config.rule_of():
         out.append(("WARNING", "", "no active rule"))
     types = set(config.rule_of())
+    if any(r.strategy in ("PRIORITY", "SOURCE_PRIORITY") and not r.priority and r.active for r in config.survivorship):
+        for s in config.active_sources():
+            if s.trust_rank is None:
+                out.append(("WARNING", s.table_id, "no trust rank, but an attribute goes by priority without a list"))
+    ranks = [s.trust_rank for s in config.active_sources() if s.trust_rank is not None]
+    for s in config.active_sources():
+        if s.trust_rank is not None and ranks.count(s.trust_rank) > 1:
+            out.append(("WARNING", s.table_id, f"trust rank {s.trust_rank} stands twice"))
+        if s.entity_type != "PERSON":
+            out.append(("WARNING", s.table_id, f"entity type {s.entity_type} is recorded only: sources are not kept apart by it"))
     for r in config.rules:
         if r.max_group_size < 2:
             out.append(("WARNING", r.identifier_type, "a cap below 2 matches nothing"))

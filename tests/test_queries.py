@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from kinweave.plans import queries as core
+from kinweave.plans import reports  # noqa: F401  registers further queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
