@@ -26,7 +26,9 @@ from kinweave.llm.common import Words, batch, pieces, text_buffers
 
 PASSAGE_WORDS = 64
 #: Bound of the sample of labelled documents that the model is fitted on.
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
+#: Bytes of text encoded at once; bounds the temporary arrays of a task.
+PIECE_BYTES = 1 << 18
 THRESHOLD = 0.7
 HIDDEN = 16
 ATTENTION = 8
@@ -59,21 +61,26 @@ def encode(words: Words, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndar
 def buckets(words: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the hashed words and byte trigrams of passages, words begin:end of each, as square roots."""
     n = len(begin)
-    place = np.repeat(np.arange(n), end - begin)
-    where = np.arange(len(place)) + np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin)
-    word = (words.hashes()[where] >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+    where, place = _spread(begin, end)
+    word = (words.hashes()[where] >> np.uint64(40)).astype(np.int32) % WORD_BUCKETS
     counts = np.bincount(place * WORD_BUCKETS + word, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS).astype(np.float32)
     data = words.bytes.astype(np.uint32)
     key = np.zeros(len(data), dtype=np.uint32)
     key[:-2] = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    key = ((key * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64) % GRAM_BUCKETS
+    key = ((key * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int32) % GRAM_BUCKETS
     low, high = words.start[begin], words.end[end - 1]
-    spot = np.repeat(np.arange(n), high - low)
-    at = np.arange(len(spot)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+    at, spot = _spread(low, high)
     grams = np.bincount(spot * GRAM_BUCKETS + key[at], minlength=n * GRAM_BUCKETS).reshape(n, GRAM_BUCKETS).astype(np.float32)
     return np.sqrt(counts / (end - begin)[:, None]), np.sqrt(grams / (high - low)[:, None])
 
 
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges begin:end, and the range of each."""
+    size = (end - begin).astype(np.int32)
+    place = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return np.arange(len(place), dtype=np.int32) + np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size), place
+
+
 def shape(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features of passages, the first of them filled, text of each passage, passages with words and these words' range)."""
     first = words.first
@@ -208,10 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = np.lexsort((np.array([zlib.crc32((t or "").encode()) for t in found.column("t").to_pylist()], dtype=np.int64), found.column("k").to_numpy()))
     found = found.take(pa.array(order))
     raw, offs = text_buffers(found.column("t"))
-    parts = [encode(Words(raw, offs[i : j + 1])) for i, j in pieces(offs)]
-    starts = [i for i, _ in pieces(offs)]
+    spans = list(pieces(offs, PIECE_BYTES))
+    parts = [encode(Words(raw, offs[i : j + 1])) for i, j in spans]
+    starts = [i for i, _ in spans]
     x = np.concatenate([np.zeros((0, WIDTH), np.float32), *(p[0] for p in parts)])
     bag = np.concatenate([np.zeros(0, np.int64), *(p[1] + i for p, i in zip(parts, starts))])
+    del parts, raw
     return fit(x, bag, found.column("y").to_numpy().astype(np.float64))
 
 
@@ -221,7 +230,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = text_buffers(b.column(1))
-            for i, j in pieces(offs):
+            for i, j in pieces(offs, PIECE_BYTES):
                 x, text = encode(Words(raw, offs[i : j + 1]))
                 yield batch(schema, doc_id=b.column(0).slice(i, j - i), score=model.score(x, text), n_passages=np.bincount(text, minlength=j - i))
 
@@ -239,7 +248,7 @@ def _keep(model: Model, place: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = text_buffers(b.column(place))
-            found = [model.score(*encode(Words(raw, offs[i : j + 1]))) for i, j in pieces(offs)]
+            found = [model.score(*encode(Words(raw, offs[i : j + 1]))) for i, j in pieces(offs, PIECE_BYTES)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= threshold))
 
     return run

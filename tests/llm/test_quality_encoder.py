@@ -30,7 +30,7 @@ def accuracy(spark, spread):
     try:
         model = q.train(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
         raw, offs = q.text_buffers(q.pa.array([d[1] for d in docs]))
-        scores = [s for i, j in q.pieces(offs) for s in model.score(*q.encode(q.Words(raw, offs[i : j + 1])))]
+        scores = [s for i, j in q.pieces(offs, q.PIECE_BYTES) for s in model.score(*q.encode(q.Words(raw, offs[i : j + 1])))]
     finally:
         q.SPREAD = old
     held = [(s, y) for s, (i, y) in zip(scores, labels) if zlib.crc32(str(i).encode()) % 4 == 2]
