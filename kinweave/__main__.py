@@ -1,4 +1,4 @@
-"""Command line: version, validate, explain, schema, run, fuzzy-templates, quickstart."""
+"""Command line: version, init, validate, explain, apply, schema, run, dashboard, fuzzy-templates, quickstart."""
 
 from __future__ import annotations
 
@@ -27,6 +27,16 @@ def main(argv: list[str] | None = None) -> int:
     commands.add_parser("schema")
     for name in ("validate", "explain"):
         commands.add_parser(name).add_argument("config")
+    start = commands.add_parser("init", help="write a configuration to start from; with --folder, one for the Parquet tables there")
+    start.add_argument("config")
+    start.add_argument("--folder")
+    start.add_argument("--tables", default="", help="names, separated by commas")
+    apply_ = commands.add_parser("apply", help="write a configuration to the metadata tables of a database")
+    apply_.add_argument("config")
+    apply_.add_argument("--database", required=True)
+    board = commands.add_parser("dashboard", help="write the monitoring views as one HTML page")
+    board.add_argument("--store", required=True)
+    board.add_argument("--out", required=True)
     run = commands.add_parser("run")
     run.add_argument("config")
     run.add_argument("--store", required=True)
@@ -56,6 +66,22 @@ def main(argv: list[str] | None = None) -> int:
     from kinweave.plans.engine import Engine, RunConfig
     from kinweave.sources.store import Store
 
+    if args.command == "init":
+        from kinweave.plans.discover import guessed, template
+
+        text = template()
+        if args.folder:
+            spark = _spark(args.folder)
+            text = guessed({t: spark.read.parquet(f"{args.folder}/{t}.parquet").columns for t in args.tables.split(",") if t})
+        with open(args.config, "x", encoding="utf-8") as f:
+            f.write(text)
+        return 0
+    if args.command == "dashboard":
+        from kinweave.sources.views import dashboard
+
+        with open(args.out, "w", encoding="utf-8") as f:
+            f.write(dashboard(Store(_spark(args.store), args.store)))
+        return 0
     if args.command == "quickstart":
         from kinweave.sources.datagen import customers
 
@@ -69,6 +95,12 @@ def main(argv: list[str] | None = None) -> int:
         except (ConfigError, OSError) as e:
             print(f"invalid: {e}", file=sys.stderr)
             return 2
+        if args.command == "apply":
+            from kinweave.sources import metadata
+
+            metadata.write(_spark("."), config, args.database)
+            print(config.fingerprint())
+            return 0
         if args.command != "run":
             print(config.fingerprint() if args.command == "validate" else json.dumps(config.to_dict(), indent=2))
             return 0

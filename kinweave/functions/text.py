@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,10 +128,66 @@ def _jaro_winkler(a: str, b: str, always_boost: bool) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Strings up to this length are compared as columns of letters, longer ones one by one; and pairs in one such table.
+WIDE = 40
+PAIRS = 4096
+
+
+def _letters(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a column a place; lengths)."""
+    size = np.array([len(v) for v in values])
+    out = np.zeros((len(values), max(int(size.max(initial=0)), 1)), dtype=np.uint32)
+    for k, v in enumerate(values):
+        out[k, : len(v)] = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return out, size
+
+
+def _in_front(letters: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The letters at hits, in order, moved to the front; zeros behind them."""
+    order = np.argsort(~hit, axis=1, kind="stable")
+    return np.where(np.take_along_axis(hit, order, 1), np.take_along_axis(letters, order, 1), 0)
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str], always_boost: bool) -> np.ndarray:
+    """Similarities of many pairs at once: a step for each pair of places, over all pairs of strings."""
+    x, n = _letters(a)
+    y, m = _letters(b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    mine, other = np.zeros(x.shape, dtype=bool), np.zeros(y.shape, dtype=bool)
+    for i in range(x.shape[1]):
+        far = int(reach.max(initial=0))
+        for j in range(max(0, i - far), min(y.shape[1], i + far + 1)):
+            new = (x[:, i] == y[:, j]) & ~mine[:, i] & ~other[:, j] & (i < n) & (j < m) & (abs(i - j) <= reach)
+            mine[:, i] |= new
+            other[:, j] |= new
+    hits = mine.sum(axis=1)
+    first, second = _in_front(x, mine), _in_front(y, other)
+    width = min(first.shape[1], second.shape[1])
+    swaps = (first[:, :width] != second[:, :width]).sum(axis=1) // 2
+    some = np.maximum(hits, 1)
+    jaro = np.where(hits > 0, (hits / np.maximum(n, 1) + hits / np.maximum(m, 1) + (hits - swaps) / some) / 3, 0.0)
+    short = min(4, width)
+    same = np.logical_and.accumulate((x[:, :short] == y[:, :short]) & (np.arange(short) < np.minimum(n, m)[:, None]), axis=1).sum(axis=1)
+    boosted = jaro + 0.1 * same * (1 - jaro)
+    return np.where((hits > 0) & (always_boost | (jaro >= 0.7)), boosted, jaro)
+
+
 def _similarity_udf(always_boost: bool):
     @F.pandas_udf("double")
     def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _jaro_winkler(x, y, always_boost) for x, y in zip(a, b)], dtype="float64")
+        found: dict[tuple[str, str], float] = {}  # each pair of values of the batch is compared once
+        pairs = [None if x is None or y is None else (x, y) for x, y in zip(a, b)]
+        todo = []
+        for p in {p for p in pairs if p is not None}:
+            if max(len(p[0]), len(p[1])) <= WIDE:
+                todo.append(p)
+            else:
+                found[p] = _jaro_winkler(*p, always_boost)
+        todo.sort(key=lambda p: max(len(p[0]), len(p[1])))
+        for k in range(0, len(todo), PAIRS):
+            part = todo[k : k + PAIRS]
+            found.update(zip(part, jaro_winkler_pairs([p[0] for p in part], [p[1] for p in part], always_boost).tolist()))
+        return pd.Series([None if p is None else found[p] for p in pairs], dtype="float64")
 
     return jaro_winkler_similarity
 

@@ -41,6 +41,13 @@ def blocks(profile: DataFrame, blocking: str, cap: int = DEFAULT_CAP) -> DataFra
     return keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, cap))
 
 
+def skipped_blocks(profile: DataFrame, rule: FuzzyRule, cap: int = DEFAULT_CAP) -> DataFrame:
+    """Audit rows of the blocks that a rule leaves out: (identifier_type: the rule, identifier_value_norm: the block, group_size, max_allowed, reason)."""
+    keyed = profile.select(F.expr(rule.blocking).cast("string").alias("identifier_value_norm")).where("identifier_value_norm is not null")
+    big = keyed.groupBy("identifier_value_norm").agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > cap)
+    return big.select(F.lit(f"fuzzy:{rule.name}").alias("identifier_type"), "identifier_value_norm", "group_size", F.lit(cap).alias("max_allowed"), F.lit("EXCEEDED_BLOCK_CAP").alias("reason"))
+
+
 def pairs(profile: DataFrame, rule: FuzzyRule, cap: int = DEFAULT_CAP) -> DataFrame:
     """(left_id, right_id, score) with score >= threshold, each pair once, in order of the ids' MD5.
 

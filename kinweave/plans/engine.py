@@ -166,6 +166,11 @@ class Engine:
             profile = cut(fuzzy.profiles(extract.attributes(spark, config, self.read), membership, names))
             labels, _ = fuzzy.super_clusters(profile, config.fuzzy, config.block_cap)
             labels = cut(labels)
+            known = set(profile.columns) - {"resolved_id"}
+            for rule in config.fuzzy:
+                if rule.active and fuzzy.usable(rule, known) is None:
+                    over = fuzzy.skipped_blocks(profile, rule, config.block_cap)
+                    skipped = skipped.unionByName(over.withColumns({"run_id": F.lit(run_id), "skipped_at": F.lit(now).cast("timestamp")}), allowMissingColumns=True)
         else:
             labels = spark.createDataFrame([], "resolved_id string, super_cluster_id string")
         membership = membership.join(labels, "resolved_id", "left")

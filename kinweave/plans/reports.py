@@ -414,6 +414,11 @@ def fuzzy_rule_guards(spark, d):
     return spark.createDataFrame([(n, fuzzy.usable(FuzzyRule(n, b, s, 0.9), {"name", "nation"}) is not None) for n, (b, s) in rules.items()], "rule string, skipped boolean")
 
 
+@_query(f"WITH {core.P_SQL} SELECT 'fuzzy:name' AS identifier_type, nation AS identifier_value_norm, count(*) AS group_size, 1 AS max_allowed, 'EXCEEDED_BLOCK_CAP' AS reason FROM pr GROUP BY 2 HAVING count(*) > 1")
+def skipped_blocks(spark, d):
+    return fuzzy.skipped_blocks(core._profile(spark, d), core.SUPPLIER_PROFILE.fuzzy[0], 1)
+
+
 TWO_RULES = (core.FuzzyRule("second", "nation", "levenshtein(<a>.name, <b>.name) * 0.0 + 1.0", 2.0, priority=2), core.FuzzyRule("first", "nation", "1.0 - levenshtein(<a>.name, <b>.name) / greatest(length(<a>.name), length(<b>.name), 1)", 0.9, priority=1))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def views(store: Store, config: Config | None = None) -> dict[str, DataFrame]:
     }
 
 
+def dashboard(store: Store, config: Config | None = None, rows: int = 100) -> str:
+    """One HTML page with the first ``rows`` rows of every view."""
+    parts = []
+    for name, df in views(store, config).items():
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(rows).collect())
+        parts.append(f"<h2>{escape(name)}</h2><table border='1'><tr>{head}</tr>{body}</table>")
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>kinweave</title></head><body>{''.join(parts)}</body></html>"
+
+
 def register(store: Store, config: Config | None = None) -> list[str]:
     found = views(store, config)
     for name, df in found.items():
