@@ -14,9 +14,11 @@ import time
 import urllib.request
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ SCHEMAS = {
 
 #: Days that rows of a table are kept, by their time column; null times stay.
 RETENTION = {"skipped_groups": ("skipped_at", 30), "dry_run_results": ("created_at", 7), "metrics_export": ("recorded_at", 90)}
-STALE_LOCK_HOURS = 4
+STALE_SECONDS = 600
+#: Tables written at once.
+WRITERS = 4
 
 
 class Conflict(RuntimeError):
@@ -108,6 +112,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._known: dict[str, dict[str, str]] = {}  # manifests never change
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _manifests(self) -> list[str]:
@@ -116,11 +121,22 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at) if not s.getPath().getName().startswith((".", "_")))
 
+    def _manifest(self, name: str) -> dict[str, str] | None:
+        """What a manifest names; None if it is not written out."""
+        if name not in self._known:
+            path = self._path(f"{self.folder}/_manifests/{name}")
+            stream = self._fs.open(path)
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if not text.endswith("}"):
+                return None
+            self._known[name] = json.loads(text)
+        return self._known[name]
+
     def current(self) -> dict[str, str]:
-        names = self._manifests()
-        if not names:
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}").collect()))
+        return next((m for m in map(self._manifest, reversed(self._manifests())) if m is not None), {})
 
     def read(self, table: str) -> DataFrame:
         """The current version; columns that its schema has gained since are null."""
@@ -130,18 +146,19 @@ class Store:
         df = self.spark.read.parquet(f"{self.folder}/{table}/{version}")
         return conform(df, SCHEMAS[table]) if table in SCHEMAS else df
 
-    def _lock(self, number: int) -> None:
-        """Take the number of the next manifest: creating the file is atomic, so one of several writers gets it."""
-        path = self._path(f"{self.folder}/_manifests/.lock-{number:08d}")
+    def _create(self, number: int, text: str) -> None:
+        """Write a manifest: creating a file is atomic, so one of several writers gets the number."""
+        path = self._path(f"{self.folder}/_manifests/{number:08d}")
         try:
-            self._fs.create(path, False).close()
+            out = self._fs.create(path, False)
         except Py4JJavaError as e:
             if not self._fs.exists(path):
                 raise
-            hours = (time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000) / 3600
-            if hours < STALE_LOCK_HOURS:
-                raise Conflict(f"manifest {number} is being written by another run") from e
-            self._fs.create(path, True).close()  # its writer is gone
+            raise Conflict(f"manifest {number} was written by another run") from e
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     def initialize(self, reset: bool = False) -> None:
         """Make every system table, empty where it is missing or, with ``reset``, all of them; older versions stay on disk."""
@@ -149,19 +166,25 @@ class Store:
         self.publish({name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items() if name not in have})
 
     def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Write a new version of each table, then the manifest that makes all of them visible at once.
+        """Write a new version of each table, a few at a time, then the manifest that makes all of them visible at once.
 
-        Raises ``Conflict`` if another writer has taken the manifest that follows the state read here.
+        Raises ``Conflict`` if another writer has published, or is publishing, since the state read here. A manifest that
+        was never written out is passed over once it is old.
         """
-        number = len(self._manifests())  # counted first: what is published after this makes the lock fail
-        before = self.current()
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
+        names = self._manifests()  # first: what is published after this takes the number that follows
+        if names and self._manifest(names[-1]) is None:
+            age = time.time() - self._fs.getFileStatus(self._path(f"{self.folder}/_manifests/{names[-1]}")).getModificationTime() / 1000
+            if age < STALE_SECONDS:
+                raise Conflict(f"manifest {names[-1]} is being written by another run")
+        before, version = self.current(), uuid.uuid4().hex
+
+        def write(item: tuple[str, DataFrame]) -> None:
+            name, df = item
             (conform(df, SCHEMAS[name]) if name in SCHEMAS else df).write.parquet(f"{self.folder}/{name}/{version}")
-        body = json.dumps(before | {name: version for name in tables})
-        self._lock(number)
-        text = self.spark.range(1).select(F.lit(body).alias("value")).coalesce(1)
-        text.write.text(f"{self.folder}/_manifests/{number:08d}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), tables.items()))  # raises what a write raises
+        self._create(len(names), json.dumps(before | {name: version for name in tables}))
 
     def append(self, table: str, df: DataFrame) -> DataFrame:
         return self.read(table).unionByName(conform(df, SCHEMAS[table]), allowMissingColumns=True)

@@ -114,19 +114,21 @@ def test_percentiles_by_sketch(spark):
 def test_one_of_two_writers_wins(spark, tmp_path):
     s = st.Store(spark, str(tmp_path / "s"))
     row = spark.createDataFrame([("t", NOW, "r1", NOW)], st.SCHEMAS["run_state"])
-    s._lock(0)  # another writer has the next manifest
+    s._fs.create(s._path(f"{s.folder}/_manifests/00000000"), False).close()  # another writer has the next manifest and is not done
     with pytest.raises(st.Conflict):
         s.publish({"run_state": row})
     assert s.read("run_state").count() == 0
     w = World(spark, tmp_path / "s")
     with pytest.raises(ConfigError, match="in progress"):
         w.engine.run(now=NOW)
-    lock = tmp_path / "s" / "_manifests" / ".lock-00000000"
     import os
 
-    os.utime(lock, (0, 0))  # its writer died long ago
+    os.utime(tmp_path / "s" / "_manifests" / "00000000", (0, 0))  # it died long ago
     s.publish({"run_state": row})
     assert s.read("run_state").count() == 1
+    with pytest.raises(st.Conflict):
+        s._create(1, "{}")
+    assert st.Store(spark, str(tmp_path / "s")).read("run_state").count() == 1
 
 
 def test_running_and_stale_runs(spark, tmp_path):
