@@ -63,3 +63,31 @@ def test_clashing_columns_and_odd_rows(spark):
     assert len(got) == len(rows) and {g["n_passages"] for g in got if g["doc_id"] == 1001} == {-(-50_000 // 64)}
     assert q.accepted(frame, model).columns == frame.columns
     assert q.accepted(frame, model).count() == sum(g["predicted"] for g in got)
+
+
+def test_every_labelled_document_is_learned(spark):
+    """Label 0 stands only at documents beyond the 3,000 that a fit was once limited to."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(4800).select(F.col("id").alias("k")).where(~q.held_out("k")).orderBy(F.xxhash64("k", F.lit(5)), "k")
+    late = [r.k for r in ids.collect()][3000:]
+    assert len(late) > 300
+    texts = {i: "plain words of a usual kind" for i in range(4800)} | {i: "JUNK!! &&& 0101 JUNK!!" for i in late}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    model = q.train(docs, spark.createDataFrame([(i, int(i not in set(late))) for i in texts], "doc_id long, quality int"))
+    kept = {r["doc_id"] for r in collected(q.accepted(docs, model))}
+    assert kept == set(texts) - set(late)
+
+
+def test_shards(spark, monkeypatch):
+    """Many shards learn what one does, and the same weights however rows and tasks are dealt and labels joined."""
+    docs, labels = anagrams()
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score double, label string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = q.train(frame, known, shard_bytes=1 << 18)
+    monkeypatch.setattr(q, "BROADCAST_LABELS", 0)
+    again = q.train(frame.repartition(7, "text"), known.repartition(3), shard_bytes=1 << 18)
+    assert all((again.w[k] == v).all() for k, v in model.w.items()) and (again.mean == model.mean).all() and (again.scale == model.scale).all()
+    truth = dict(labels)
+    held = [(g["score"] >= 0.5) == truth[g["doc_id"]] for g in collected(q.score(frame, model)) if g["held_out"]]
+    assert sum(held) > 0.9 * len(held)
