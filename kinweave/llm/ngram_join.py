@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Words, batch, mix, pieces, span_hashes, text_buffers, unused
+from kinweave.llm.common import Words, batch, mix, pieces, release, span_hashes, text_buffers, unused
 from kinweave.operators.components import connected_components, cut, files_for, rekeyed
 
 NGRAM = 5
@@ -226,6 +226,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose doc_id is the smallest of its class, and those without doc_id; all their columns."""
     sigs, classes, found, files = _links(docs, id_col, text_col, **options)
     gone = unused(docs, "gone")
+    release(docs.sparkSession)
     linked = connected_components(found, "rep", "root", files=files).where("node <> component").select(F.col("node").alias(gone))
     copies = sigs.join(rekeyed(classes.where("size > 1"), "seq1", "seq2"), ["seq1", "seq2"]).where("doc_id <> rep").select(F.col("doc_id").alias(gone))
     return docs.join(linked.unionAll(copies), F.col(id_col).cast("long") == F.col(gone), "left_anti")

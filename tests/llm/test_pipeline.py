@@ -69,3 +69,15 @@ def test_stages_on_odd_tables(spark, tmp_path):
                 assert back.count() == table.count()
             else:
                 assert back.columns == table.columns and back.exceptAll(table).count() == 0
+
+
+def test_stages_give_memory_back(spark, monkeypatch):
+    """Each stage gives back what finished work left in the driver, before and after its own jobs."""
+    said = []
+    real = corpus_pipeline.release
+    monkeypatch.setattr(corpus_pipeline, "release", lambda s: said.append(real(s)))
+    docs = spark.createDataFrame([(i, f"some words of document number {i}", "en", "s", 30) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, DATA)
+        assert len(said) == 2 * n
+    assert all(x.startswith("Trim native heap") for x in said)
